@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselon.llm import chat, mixing, url_filter
+from tesselon.llm import chat, mixing, quality, url_filter
 from tesselon.llm.common import table
 
 QUERIES: dict = {}
@@ -37,3 +37,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_mix", mixing.ORACLE)
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+@query("op8_quality", None)
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"))
