@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselon.llm import chat, mixing, quality, url_filter
+from tesselon.llm import chat, mixing, ngram_join, quality, url_filter
 from tesselon.llm.common import table
 
 QUERIES: dict = {}
@@ -41,3 +41,8 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_quality", None)
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
+@query("op1_ngram_join", ngram_join.ORACLE)
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
