@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselon.llm import chat, mixing, ngram_join, quality, url_filter
-from tesselon.llm.common import table
+from tesselon.llm import chat, mixing, ngram_join, quality, token_codec, token_counts, url_filter
+from tesselon.llm.common import Scratch, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -46,3 +47,20 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_ngram_join", ngram_join.ORACLE)
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
+@query("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def write_and_read(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Writes docs as a token dataset in the shared folder and reads its digest back."""
+    path = Scratch(spark, "token-dataset").root
+    token_codec.write_dataset(docs, path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_codec.read_digest(spark, path)
+
+
+@query("op5_token_output")
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_and_read(spark, table(spark, sf_dir, "documents"))
