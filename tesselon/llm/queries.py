@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselon.llm import chat, mixing, ngram_join, quality, token_codec, token_counts, url_filter
+from tesselon.llm import chat, decontaminate, licenses, mixing, ngram_join, quality, token_codec, token_counts, toxicity, url_filter
 from tesselon.llm.common import Scratch, table
 
 QUERIES: dict = {}
@@ -64,3 +64,18 @@ def write_and_read(spark: SparkSession, docs: DataFrame) -> DataFrame:
 @query("op5_token_output")
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op4_decontaminate")
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_licenses")
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
