@@ -1,0 +1,185 @@
+"""Running conditions over a corpus: statistics, ranked hits, rescoring, and the joins that postings allow."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tesselon.functions import scoring
+from tesselon.functions.analysis import ANALYZERS, Analyzer
+from tesselon.operators.nodes import Node
+from tesselon.plans.schema import Field, Schema
+
+VALUE_GAP = 100
+
+
+class Corpus:
+    """Documents with a schema. Text fields get a column of tokens; `docs` needs a column doc_id of distinct longs."""
+
+    def __init__(self, docs: DataFrame, schema: Schema, analyzers: dict[str, Analyzer] | None = None, doc_id: str = "doc_id"):
+        self.schema, self.doc_id = schema, doc_id
+        self.analyzers = {**ANALYZERS, **(analyzers or {})}
+        self.docs = docs
+        for f in schema.of_type("text"):
+            if self.tokens(f.name) not in docs.columns:
+                self.docs = self.docs.withColumn(self.tokens(f.name), self._tokens(f))
+
+    @staticmethod
+    def tokens(name: str) -> str:
+        return f"_tok_{name}"
+
+    def _tokens(self, f: Field) -> Column:
+        analyzer = self.analyzers[f.analyzer]
+        if not f.multi:
+            return analyzer(F.col(f.name))
+        # values of an array stand VALUE_GAP places apart, so that no phrase spans two
+        each = F.transform(F.coalesce(F.col(f.name), F.array().cast("array<string>")), lambda v: analyzer(v))
+        empty = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<term:string,pos:int>>").alias("toks"))
+        last = lambda toks: F.coalesce(F.array_max(F.transform(toks, lambda t: t["pos"])), F.lit(-1))
+        return F.aggregate(each, empty, lambda acc, toks: F.struct((acc["next"] + last(toks) + 1 + VALUE_GAP).alias("next"), F.concat(acc["toks"], F.transform(toks, lambda t: F.struct(t["term"].alias("term"), (t["pos"] + acc["next"]).alias("pos")))).alias("toks")))["toks"]
+
+
+class Context:
+    """What nodes build their columns from. Statistics are columns of a one-row table joined to every document."""
+
+    def __init__(self, corpus: Corpus):
+        self.corpus, self.schema, self.doc_id = corpus, corpus.schema, corpus.doc_id
+        self.pairs: dict[tuple[str, str], int] = {}
+        self.n_docs = F.col("_n_docs")
+        self._terms: dict[tuple[str, str], list[str]] = {}
+
+    def analyse(self, name: str, text: str) -> list[str]:
+        if (name, text) not in self._terms:
+            f = self.schema[name]
+            if f.type == "keyword":
+                self._terms[name, text] = [text] if text else []
+            else:
+                self._terms[name, text] = self.corpus.analyzers[f.analyzer].terms(self.corpus.docs.sparkSession, text)
+        return self._terms[name, text]
+
+    def scored(self, name: str) -> bool:
+        return self.schema[name].type in ("text", "keyword")
+
+    def values(self, name: str) -> Column:
+        """The indexed values of a field as an array."""
+        f = self.schema[name]
+        if f.type == "text":
+            return F.transform(F.col(Corpus.tokens(name)), lambda t: t["term"])
+        if f.multi:
+            return F.coalesce(F.col(name), F.array().cast(f.spark_type))
+        return F.when(F.col(name).isNull(), F.array().cast(f"array<{f.spark_type}>")).otherwise(F.array(F.col(name)))
+
+    def any_value(self, name: str, condition: Callable[[Column], Column]) -> Column:
+        """Whether some value meets a condition; on a single-valued column the condition itself, which Spark pushes to the scan."""
+        f = self.schema[name]
+        if f.type == "text":
+            return F.exists(F.col(Corpus.tokens(name)), lambda t: condition(t["term"]))
+        if f.multi:
+            return F.exists(F.col(name), condition)
+        return condition(F.col(name))
+
+    def tf(self, name: str, term: str) -> Column:
+        f = self.schema[name]
+        if f.type == "keyword" and not f.multi:
+            return F.coalesce((F.col(name) == F.lit(term)).cast("int"), F.lit(0))
+        if f.type == "text":
+            return F.size(F.filter(F.col(Corpus.tokens(name)), lambda t: t["term"] == F.lit(term)))
+        return F.size(F.filter(self.values(name), lambda v: v == F.lit(term)))
+
+    def places(self, name: str, term: str) -> Column:
+        here = F.filter(F.col(Corpus.tokens(name)), lambda t: t["term"] == F.lit(term))
+        return F.transform(here, lambda t: t["pos"])
+
+    def length(self, name: str) -> Column:
+        f = self.schema[name]
+        if f.type == "text":
+            return F.size(F.col(Corpus.tokens(name)))
+        return F.size(F.col(name)) if f.multi else F.col(name).isNotNull().cast("int")
+
+    def average(self, name: str) -> Column:
+        return F.col(f"_avg_{name}")
+
+    def df(self, name: str, term: str) -> Column:
+        return F.col(f"_df_{self.pairs[name, term]}")
+
+    def bm25(self, name: str, term: str, tf: Column) -> Column:
+        if (name, term) not in self.pairs:  # a clause that only filters
+            return F.lit(0.0)
+        return F.when(tf > 0, scoring.bm25(tf, self.length(name), self.average(name), scoring.idf(self.n_docs, self.df(name, term)))).otherwise(F.lit(0.0))
+
+    def statistics(self, node: Node) -> DataFrame | None:
+        """One row: documents, average lengths of fields with tokens, and document frequencies of all terms of the tree, in one pass."""
+        for pair in node.needs(self):
+            self.pairs.setdefault(pair, len(self.pairs))
+        if not self.pairs:
+            return None
+        names = dict.fromkeys(n for n, _ in self.pairs)
+        aggs = [F.count("*").alias("_n_docs")]
+        for n in names:
+            total, having = F.sum(self.length(n)), F.count_if(self.length(n) > 0)
+            aggs.append(F.coalesce(F.try_divide(total.cast("double"), having), F.lit(0.0)).alias(f"_avg_{n}"))
+        aggs += [F.count_if(self.tf(n, t) > 0).alias(f"_df_{i}") for (n, t), i in self.pairs.items()]
+        return self.corpus.docs.agg(*aggs)
+
+
+def scored(corpus: Corpus, node: Node) -> DataFrame:
+    """The matching documents with a column `score`."""
+    node, ctx = node.rewrite(), Context(corpus)
+    stats = ctx.statistics(node)
+    condition, score = node.build(ctx)
+    docs = corpus.docs if stats is None else corpus.docs.crossJoin(F.broadcast(stats))  # one row
+    found = docs.where(condition).withColumn("score", score.cast("double"))
+    return found.drop(*([] if stats is None else stats.columns))
+
+
+def top(found: DataFrame, k: int, doc_id: str = "doc_id", offset: int = 0) -> DataFrame:
+    """Best scores first, the lesser doc_id first among equals."""
+    if k <= 0:
+        return found.limit(0)
+    best = found.orderBy(F.desc("score"), F.asc(doc_id))
+    return (best.offset(offset) if offset else best).limit(k)
+
+
+def search(corpus: Corpus, node: Node, k: int = 10, offset: int = 0) -> DataFrame:
+    """Ranked hits: doc_id and score are ranked first, and only the hits' rows fetched."""
+    return top(scored(corpus, node), k, corpus.doc_id, offset)
+
+
+def rescored(corpus: Corpus, base: Node, second: Node, window: int, k: int, query_weight: float = 1.0, rescore_weight: float = 1.0) -> DataFrame:
+    """The best max(window, k) by the base score, ranked anew by weighted sums; a row that the second query misses keeps its share of the base."""
+    base, second = base.rewrite(), second.rewrite()
+    ctx = Context(corpus)
+    for n in (second,):
+        for pair in n.needs(ctx):
+            ctx.pairs.setdefault(pair, len(ctx.pairs))
+    stats = ctx.statistics(base)
+    condition, score = base.build(ctx)
+    again, extra = second.build(ctx)
+    docs = corpus.docs if stats is None else corpus.docs.crossJoin(F.broadcast(stats))
+    found = docs.where(condition).withColumn("score", score.cast("double")).withColumn("_again", F.when(again, extra).otherwise(0.0))
+    best = top(found, max(window, k), corpus.doc_id)
+    best = best.withColumn("score", query_weight * F.col("score") + rescore_weight * F.col("_again"))
+    return top(best.drop("_again", *([] if stats is None else stats.columns)), k, corpus.doc_id)
+
+
+def postings(corpus: Corpus, name: str) -> DataFrame:
+    """(term, doc_id, tf, places, length) of a text field: the inverted index, to be written bucketed by term."""
+    toks = corpus.docs.select(F.col(corpus.doc_id).alias("doc_id"), F.size(Corpus.tokens(name)).alias("length"), F.explode(Corpus.tokens(name)).alias("t"))
+    return toks.groupBy("doc_id", F.col("t.term").alias("term")).agg(F.first("length").alias("length"), F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("t.pos")).alias("places"))
+
+
+def match_postings(index: DataFrame, stats: DataFrame, terms: list[str], every: bool = False) -> DataFrame:
+    """(doc_id, score) of a match from an inverted index: one scan for all terms, one partial aggregate a document.
+
+    stats: one row (n_docs, average).
+    """
+    distinct = list(dict.fromkeys(terms))
+    rows = index.where(F.col("term").isin(distinct))
+    frequency = rows.groupBy("term").agg(F.count("*").alias("df"))
+    times = F.create_map(*[F.lit(x) for t in distinct for x in (t, float(terms.count(t)))])
+    scored_rows = rows.join(F.broadcast(frequency), "term").crossJoin(F.broadcast(stats))  # as many rows as terms, and one
+    one = scoring.bm25(F.col("tf"), F.col("length"), F.col("average"), scoring.idf(F.col("n_docs"), F.col("df"))) * times[F.col("term")]
+    out = scored_rows.select("doc_id", one.alias("score")).groupBy("doc_id").agg(F.sum("score").alias("score"), F.count("*").alias("n"))
+    return (out.where(F.col("n") == len(distinct)) if every else out).drop("n")
