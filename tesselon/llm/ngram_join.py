@@ -31,17 +31,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselon.llm.common import BROADCAST_BYTES, Scratch, lower_ascii, mix64, n_partitions, utf8, word_hashes, words
 from tesselon.llm.components import components
-from tesselon.llm.signature_tree import Tree, bitmaps, linked_leaves
+from tesselon.llm.signature_tree import Tree, bitmaps, linked_leaves, may_link
 
 WIDTH, NUM, DEN = 5, 3, 4
 BITS = 48
 STARS = 6
 CHUNK = 512
+SLICE_BYTES = 2 << 20
 _CLIP = np.uint64(64 - BITS)
 
 
@@ -83,8 +85,20 @@ def _fingerprints(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[0], out[1]
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that their texts have about `most` bytes at most, or are one text."""
     for batch in batches:
+        size = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(batch):
+            before = size[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(size, before + most, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
         h, at = shingle_sets(batch.column("text"))
         a, b = _fingerprints(h, at)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(a), pa.array(b)], names=["doc_id", "n", "fa", "fb"])
@@ -112,7 +126,7 @@ def _deal(n_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         size = 0
-        for batch in batches:
+        for batch in slices(batches):
             h, at = shingle_sets(batch.column("text"))
             keep = np.ones(len(at) - 1, bool)
             odd = batch.column("odd").to_numpy(zero_copy_only=False)
@@ -126,7 +140,7 @@ def _deal(n_parts: int):
             good = keep[owner]
             held.append((h[good] >> _CLIP, ids[owner[good]]))
             size += int(good.sum())
-            if size >= 1 << 21:
+            if size >= 1 << 20:
                 yield _packed(held, n_parts)
                 held, size = [], 0
         if size:
@@ -244,25 +258,88 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(_verify, "a long, b long")
 
 
-def _tree_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Candidates of one meeting of chunks: `side` 0 against itself and `side` 1, which isn't compared with itself; 2 and 3 only with each other."""
+def _pairs_of(rows: dict[str, np.ndarray], allowed) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates among the rows of one large meeting, by dual traversal of a tree a side."""
     trees = {}
-    for side, rows in pdf.groupby("side"):
-        bits = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(len(rows), -1)
-        trees[side] = (Tree(bits, rows["n"].to_numpy(np.int64), rows["extra"].to_numpy(np.int64)), rows["doc_id"].to_numpy(), rows["comp"].to_numpy())
-    plans = [(0, 0)] if 0 in trees else []
-    plans += [(0, 1)] if 0 in trees and 1 in trees else []
-    plans += [(2, 3)] if 2 in trees and 3 in trees else []
+    for side in np.unique(rows["side"]):
+        mine = np.flatnonzero(rows["side"] == side)
+        trees[int(side)] = (Tree(rows["bits"][mine], rows["n"][mine], rows["extra"][mine]), mine)
     a, b = [], []
-    for x, y in plans:
-        (left, li, lc), (right, ri, rc) = trees[x], trees[y]
-        for i, j in linked_leaves(left, right, NUM, DEN):
-            apart = lc[i] != rc[j]
-            a.append(np.minimum(li[i[apart]], ri[j[apart]]))
-            b.append(np.maximum(li[i[apart]], ri[j[apart]]))
-    if not a:
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+    for x, y in allowed:
+        if x in trees and y in trees:
+            (left, li), (right, ri) = trees[x], trees[y]
+            for i, j in linked_leaves(left, right, NUM, DEN):
+                a.append(li[i])
+                b.append(ri[j])
+    none = np.zeros(0, np.int64)
+    return np.concatenate(a) if a else none, np.concatenate(b) if b else none
+
+
+#: Sides of a meeting that are compared: 0 with itself and with 1, which isn't compared with itself; 2 only with 3.
+SIDES = ((0, 0), (0, 1), (2, 3))
+#: A meeting of up to as many sets is one node, whose pairs are tried without a tree above it.
+LEAF = 32
+
+
+def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of all meetings of a partition, whose rows come sorted by meeting."""
+    held: list[pa.RecordBatch] = []
+
+    def flush(whole: pa.Table) -> pa.RecordBatch:
+        rows = {c: whole.column(c).to_numpy() for c in ("h", "i", "j", "side", "doc_id", "comp", "n", "extra")}
+        rows["n"], rows["extra"] = rows["n"].astype(np.int64), rows["extra"].astype(np.int64)
+        rows["bits"] = np.frombuffer(b"".join(whole.column("bits").to_pylist()), np.uint64).reshape(len(whole), -1)
+        key = np.stack([rows["h"], rows["i"], rows["j"]])
+        new = np.ones(len(whole), bool)
+        new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
+        cut = np.flatnonzero(new)
+        size = np.diff(np.append(cut, len(whole)))
+        meeting = np.cumsum(new) - 1
+        small = (size <= LEAF)[meeting]
+        a, b = [], []
+        node = (rows["bits"], rows["n"], rows["n"], rows["extra"])
+        for d in range(1, min(LEAF, int(size.max()))):
+            i = np.flatnonzero(small[:-d] & (meeting[:-d] == meeting[d:]))
+            j = i + d
+            x, y = np.minimum(rows["side"][i], rows["side"][j]), np.maximum(rows["side"][i], rows["side"][j])
+            good = ((x == 0) & (y <= 1) | (x == 2) & (y == 3)) & (rows["comp"][i] != rows["comp"][j])
+            i, j = i[good], j[good]
+            for at in range(0, len(i), 1 << 16):
+                p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                fits = may_link(node, p, node, q, NUM, DEN)
+                a.append(p[fits])
+                b.append(q[fits])
+        for g in np.flatnonzero(size > LEAF):
+            span = slice(cut[g], cut[g] + size[g])
+            i, j = _pairs_of({c: v[span] for c, v in rows.items()}, SIDES)
+            i, j = i + cut[g], j + cut[g]
+            apart = rows["comp"][i] != rows["comp"][j]
+            a.append(i[apart])
+            b.append(j[apart])
+        i = np.concatenate(a) if a else np.zeros(0, np.int64)
+        j = np.concatenate(b) if b else np.zeros(0, np.int64)
+        pairs = np.unique(np.stack([np.minimum(rows["doc_id"][i], rows["doc_id"][j]), np.maximum(rows["doc_id"][i], rows["doc_id"][j])]), axis=1) if len(i) else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    n = 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        n += len(batch)
+        if n >= 1 << 15:
+            whole = pa.Table.from_batches(held)
+            last = [whole.column(c)[-1].as_py() for c in ("h", "i", "j")]
+            same = np.ones(len(whole), bool)
+            for c, v in zip(("h", "i", "j"), last):
+                same &= whole.column(c).to_numpy() == v
+            done = len(whole) - int(same.sum())  # the last meeting may go on in the next batch
+            if done:
+                yield flush(whole.slice(0, done))
+            held = whole.slice(done).combine_chunks().to_batches()
+            n = len(whole) - done
+    if n:
+        yield flush(pa.Table.from_batches(held))
 
 
 def _meetings(keys: DataFrame, sets: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
@@ -283,7 +360,7 @@ def _meetings(keys: DataFrame, sets: DataFrame, comps: DataFrame, scratch: Scrat
     main = F.transform(F.sequence(F.lit(0), F.col("ko") - 1), lambda o: task(o, F.col("spot") + F.col("ko"), F.lit(3)))
     dealt = rows.withColumn("t", F.explode(F.when(F.col("is_main"), main).otherwise(F.concat(upto, across)))).select("h", "doc_id", "comp", "t.*")
     with_bits = dealt.join(sets.select("doc_id", "n", "extra", "bits"), "doc_id")
-    pairs = with_bits.groupBy("h", "i", "j").applyInPandas(_tree_pairs, "a long, b long")
+    pairs = with_bits.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").select("h", "i", "j", "side", "doc_id", "comp", "n", "extra", "bits").mapInArrow(_tree_pairs, "a long, b long")
     return scratch.write(pairs.distinct(), "meetings")
 
 

@@ -47,7 +47,7 @@ class Tree:
             self.levels.append((np.bitwise_or.reduceat(b, cut, axis=0), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(s, cut)))
 
 
-def _may_link(x, i: np.ndarray, y, j: np.ndarray, num: int, den: int) -> np.ndarray:
+def may_link(x, i: np.ndarray, y, j: np.ndarray, num: int, den: int) -> np.ndarray:
     """Whether pairs of nodes can hold a pair with |A & B| / |A | B| >= num / den."""
     xb, xlow, xhigh, xs = x
     yb, ylow, yhigh, ys = y
@@ -69,7 +69,7 @@ def linked_leaves(left: Tree, right: Tree, num: int, den: int, block: int = 1 <<
             for cut in range(0, len(i), block):
                 stack.append((level, i[cut : cut + block], j[cut : cut + block]))
             continue
-        good = _may_link(at(left, level), i, at(right, level), j, num, den)
+        good = may_link(at(left, level), i, at(right, level), j, num, den)
         if level == 0 and same:
             good &= i < j
         i, j = i[good], j[good]
