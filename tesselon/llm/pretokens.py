@@ -9,12 +9,16 @@ library whole. Nothing is truncated or padded.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 from tokenizers import Tokenizer
 
 #: Texts of these characters are already composed, lower-case as str.lower does, and have no white space but blank, tab, LF and CR.
-PLAIN = re.compile("[\t\n\r\x20-\x7e¡-¬®-įı-ňŊ-ž]*")
+PLAIN = re.compile("[\t\n\r\x20-\x7e¡-¬®-±´-¸º»¿-įı-ňŊ-ž]*")
+#: The tokenizer's own split, in Python's words, for those characters in lower case.
+SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 CACHE = 1 << 20
 
 
@@ -23,15 +27,40 @@ def worker(path: str) -> Worker:
     return Worker(path)
 
 
+class Known(dict):
+    """A dictionary that works out what it lacks, and starts anew when it holds CACHE entries."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        if len(self) >= CACHE:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
+def parts(chunk: str) -> list[str]:
+    """SPLIT.findall, without a pattern for words that end in one sign or none."""
+    if chunk.isalpha():
+        return [chunk]
+    if chunk[-1] in ",." and chunk[:-1].isalpha():
+        return [chunk[:-1], chunk[-1]]
+    return SPLIT.findall(chunk)
+
+
 class Worker:
-    """One a Python worker; the caches start anew when they hold CACHE entries."""
+    """One a Python worker, kept from task to task."""
 
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.pieces: dict[str, tuple[str, ...]] = {}
-        self.ids: dict[str, tuple[int, ...]] = {}
+        self.mapped = Known(lambda c: "".join(self.pretokens(c)))
+        self.pieces = Known(lambda chunk: tuple(map(self._mapped, parts(chunk))))
+        self.piece_ids = Known(lambda piece: tuple(t.id for t in self.tok.model.tokenize(self._mapped(piece))))
+        self.ids = Known(lambda chunk: tuple(chain.from_iterable(map(self.piece_ids.__getitem__, parts(chunk)))))
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
 
     def plain(self, text: str) -> bool:
@@ -41,29 +70,22 @@ class Worker:
         """The pre-tokens of normalised text, as the library's pre-tokenizer gives them."""
         return [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(text)]
 
-    def _chunk(self, chunk: str) -> tuple[str, ...]:
-        if len(self.pieces) >= CACHE:
-            self.pieces.clear()
-        found = self.pieces[chunk] = tuple(self.pretokens(chunk))
-        return found
+    def _mapped(self, piece: str) -> str:
+        """A piece as the pre-tokenizer writes its bytes."""
+        return piece if piece.isascii() else "".join(map(self.mapped.__getitem__, piece))
 
     def split(self, text: str) -> tuple[dict[str, int], int]:
         """Frequencies of a text's pre-tokens, and its number of added tokens (which stand for themselves)."""
-        freq: dict[str, int] = {}
-        extra = 0
         if self.plain(text):
-            get, chunk = self.pieces.get, self._chunk
-            for c in text.lower().split():
-                for p in get(c) or chunk(c):
-                    freq[p] = freq.get(p, 0) + 1
-            return freq, extra
-        parts = re.split("(" + "|".join(map(re.escape, self.added)) + ")", text) if self.added else [text]
-        for k, part in enumerate(parts):
+            return Counter(chain.from_iterable(map(self.pieces.__getitem__, text.lower().split()))), 0
+        freq: Counter = Counter()
+        extra = 0
+        whole = re.split("(" + "|".join(map(re.escape, self.added)) + ")", text) if self.added else [text]
+        for k, part in enumerate(whole):
             if k % 2:
                 extra += 1
             elif part:
-                for p in self.pretokens(self.tok.normalizer.normalize_str(part)):
-                    freq[p] = freq.get(p, 0) + 1
+                freq.update(self.pretokens(self.tok.normalizer.normalize_str(part)))
         return freq, extra
 
     def n_pieces(self, pretoken: str) -> int:
@@ -73,13 +95,4 @@ class Worker:
         """Ids without begin and end, as encode(add_special_tokens=False) gives them."""
         if not self.plain(text):
             return self.tok.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        get, extend = self.ids.get, out.extend
-        for c in text.lower().split():
-            ids = get(c)
-            if ids is None:
-                if len(self.ids) >= CACHE:
-                    self.ids.clear()
-                ids = self.ids[c] = tuple(self.tok.encode(c, add_special_tokens=False).ids)
-            extend(ids)
-        return out
+        return list(chain.from_iterable(map(self.ids.__getitem__, text.lower().split())))

@@ -5,7 +5,7 @@ again and any store that Spark writes will do:
 
 - `freqs` (id, freq): the shared table, fixed before the first block is coded;
 - `blocks` (part, block, doc_ids, counts, n_ids, words, states, at, crc): whole documents up to about BLOCK_IDS ids,
-  coded on interleaved lanes with checkpoints and a checksum, each block readable by itself;
+  `block` being the place of the first in its part, coded on interleaved lanes with checkpoints and a checksum, each block readable by itself;
 - `parts` (part, n_ids, start): where each part's ids begin in the whole sequence.
 
 Documents are range-partitioned by doc_id, so parts are in order and no task holds more than one part's share; a part's
@@ -60,39 +60,38 @@ def _count(size: int):
         total = np.zeros(size, np.int64)
         for batch in batches:
             for n, b in zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist()):
-                np.add.at(total, *_tally(_unpacked(b, n)))
+                total += np.bincount(_unpacked(b, n), minlength=size) if n > size // 8 else 0
+                if n <= size // 8:
+                    np.add.at(total, _unpacked(b, n), 1)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
     return run
 
 
-def _tally(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(ids, return_counts=True)
-
-
 def _code(table):
-    """Blocks of consecutive documents of a part. Rows come part by part in the order of seq."""
+    """Blocks of consecutive documents of a part. A task reads pieces of parts; where one ends, so does the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list = []  # (part, block, doc_ids, counts, ids)
         docs: list = []
-        state = {"part": None, "block": 0, "held": 0, "ids": 0}
+        state = {"part": None, "block": 0, "next": 0, "held": 0, "ids": 0}
 
         def close():
             if docs:
                 waiting.append((state["part"], state["block"], [d for d, _ in docs], [len(x) for _, x in docs], np.concatenate([x for _, x in docs])))
-                state["block"] += 1
                 state["held"] += state["ids"]
                 state["ids"] = 0
                 docs.clear()
 
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            for part, doc, n, blob in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("ids").to_pylist()):
-                if part != state["part"]:
+            for part, seq, doc, n, blob in zip(batch.column("part").to_pylist(), batch.column("seq").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("ids").to_pylist()):
+                if part != state["part"] or seq != state["next"]:
                     close()
-                    state["part"], state["block"] = part, 0
+                if not docs:
+                    state["part"], state["block"] = part, seq
+                state["next"] = seq + 1
                 docs.append((doc, _unpacked(blob, n)))
                 state["ids"] += n
                 if state["ids"] >= BLOCK_IDS:
@@ -141,8 +140,7 @@ def write_dataset(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, t
     table = rans.Table.from_counts(counts)
     spark.createDataFrame(pa.table({"id": np.arange(size), "freq": table.freq.astype(np.int64)})).coalesce(1).write.mode("overwrite").parquet(f"{path}/freqs")
     sent = spark.sparkContext.broadcast(table)
-    in_parts = ids.repartition(parts, "part").sortWithinPartitions("part", "seq")
-    blocks = in_parts.mapInArrow(_code(sent), f"part int, block long, doc_ids array<{kind}>, counts array<long>, n_ids long, words binary, states binary, at array<long>, crc long")
+    blocks = ids.mapInArrow(_code(sent), f"part int, block long, doc_ids array<{kind}>, counts array<long>, n_ids long, words binary, states binary, at array<long>, crc long")
     blocks.write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks")
     per_part = ids.groupBy("part").agg(F.sum("n").alias("n_ids"))
     before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
