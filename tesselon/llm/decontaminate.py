@@ -21,6 +21,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -186,8 +187,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min
 
 
 def _clean_udf(sent, rate: float):
-    import pandas as pd
-
     def clean(texts: pd.Series) -> pd.Series:
         own = _matcher(sent, rate)
         return pd.Series([not (t and own.find(t)) for t in texts], dtype=bool)
