@@ -86,6 +86,20 @@ def _known(path: str, hot):
     return run
 
 
+def _band(freq):
+    return F.floor(F.log2(freq) * 16)
+
+
+def _last_band(pieces: DataFrame, hot: int) -> int:
+    """The frequency band (sixteen to a doubling) above which there are at most `hot` pre-tokens; a band is never split."""
+    n = 0
+    for r in pieces.groupBy(_band(F.col("freq")).alias("band")).agg(F.count("*").alias("n")).orderBy(F.desc("band")).collect():  # 16 * 64 rows at most
+        n += r["n"]
+        if n > hot:
+            return r["band"]
+    return -1
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str = "text", doc_id: str = "doc_id", hot: int = HOT) -> DataFrame:
     """Per row of docs: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit)."""
     spark = docs.sparkSession
@@ -93,7 +107,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str =
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     vocabulary = rows.select("text").mapInArrow(_vocabulary(tokenizer), "pretoken string, freq long").groupBy("pretoken").agg(F.sum("freq").alias("freq"))
     pieces = scratch.write(vocabulary.mapInArrow(_pieces(tokenizer), "pretoken string, freq long, n_pieces int"), "pieces")
-    top = pieces.orderBy(F.desc("freq"), "pretoken").limit(hot).select("pretoken", "n_pieces").toArrow()
+    top = pieces.where(_band(F.col("freq")) > _last_band(pieces, hot)).select("pretoken", "n_pieces").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist())))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     split = scratch.write(rows.mapInArrow(_known(tokenizer, known), f"row long, doc_id {id_type}, n_bytes long, pretoken string, n long"), "split")
