@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tesselon.llm.common import BROADCAST_BYTES, Scratch, lower_ascii, mix64, n_partitions, utf8, word_hashes, words
 from tesselon.llm.components import components
-from tesselon.llm.signature_tree import Tree, bitmaps, linked_leaves, may_link
+from tesselon.llm.signature_tree import Tree, bitmap, linked_leaves, may_link
 
 WIDTH, NUM, DEN = 5, 3, 4
 BITS = 48
@@ -136,9 +136,10 @@ def _deal(n_parts: int):
                 has = ~np.asarray(batch.column("keep").is_null())
                 keep = ~odd | (has & (fa == a))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(len(ids)), np.diff(at))
+            n = np.diff(at)
+            owner = np.repeat(np.arange(len(ids)), n)
             good = keep[owner]
-            held.append((h[good] >> _CLIP, ids[owner[good]]))
+            held.append((h[good] >> _CLIP, ids[owner[good]], n[owner[good]]))
             size += int(good.sum())
             if size >= 1 << 20:
                 yield _packed(held, n_parts)
@@ -150,10 +151,11 @@ def _deal(n_parts: int):
 
 
 def _packed(held: list, n_parts: int) -> pa.RecordBatch:
-    h, ids = (np.concatenate(x) for x in zip(*held))
+    h, ids, n = (np.concatenate(x) for x in zip(*held))
+    docs, first, number = np.unique(ids, return_index=True, return_inverse=True)
+    n = n[first].astype(np.int32)
     order = np.argsort(h, kind="stable")
-    h, ids = h[order], ids[order]
-    docs, number = np.unique(ids, return_inverse=True)
+    h, number = h[order], number[order]
     edges = np.searchsorted(h, _range_starts(n_parts))
     rows = []
     for p in range(n_parts):
@@ -161,42 +163,77 @@ def _packed(held: list, n_parts: int) -> pa.RecordBatch:
         if lo < hi:
             # ids are written once a part where that is shorter than once a shingle
             own, mine = np.unique(number[lo:hi], return_inverse=True)
-            rows.append((p, _pack(h[lo:hi]), mine.astype(np.uint16 if len(own) < 1 << 16 else np.uint32).tobytes(), _pack(docs[own].view(np.uint64) ^ np.uint64(1 << 63))))
-    part, values, numbers, names = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(values, pa.binary()), pa.array(numbers, pa.binary()), pa.array(names, pa.binary())], names=["part", "values", "numbers", "docs"])
+            rows.append((p, _pack(h[lo:hi]), mine.astype(np.uint16 if len(own) < 1 << 16 else np.uint32).tobytes(), _pack(docs[own].view(np.uint64) ^ np.uint64(1 << 63)), n[own].tobytes()))
+    part, *blobs = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *[pa.array(b, pa.binary()) for b in blobs]], names=["part", "values", "numbers", "docs", "ns"])
 
 
 def _range_starts(n_parts: int) -> np.ndarray:
     return np.array([(p << BITS) // n_parts for p in range(n_parts)], np.uint64)
 
 
-def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one range of hash values: for each document its shingles that other documents have, with their document frequencies."""
-    hs, ids = [], []
-    for v, m, d in zip(pdf["values"], pdf["numbers"], pdf["docs"]):
-        h = _unpack(v)
-        docs = (_unpack(d) ^ np.uint64(1 << 63)).view(np.int64)
-        hs.append(h)
-        ids.append(docs[np.frombuffer(m, np.uint16 if len(m) == 2 * len(h) else np.uint32)])
-    h, doc = np.concatenate(hs), np.concatenate(ids)
-    order = np.lexsort((doc, h))
-    h, doc = h[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    h, doc = h[new], doc[new]
-    cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    df = np.diff(np.append(cut, len(h)))
-    df = np.repeat(df, df)
-    many = df >= 2
-    h, doc, df = h[many], doc[many], df[many]
-    if not len(h):
-        return pd.DataFrame({"doc_id": np.zeros(0, np.int64), "shared": np.zeros(0, np.int64), "h": [], "df": []})
+def _shared(n_buckets: int):
+    """Of one range of hash values: the shingles that several documents have, packed for each bucket of documents."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        hs, ids, ns = [], [], []
+        for v, m, d, k in zip(pdf["values"], pdf["numbers"], pdf["docs"], pdf["ns"]):
+            h = _unpack(v)
+            number = np.frombuffer(m, np.uint16 if len(m) == 2 * len(h) else np.uint32)
+            hs.append(h)
+            ids.append((_unpack(d) ^ np.uint64(1 << 63)).view(np.int64)[number])
+            ns.append(np.frombuffer(k, np.int32)[number])
+        h, doc, n = np.concatenate(hs), np.concatenate(ids), np.concatenate(ns)
+        order = np.lexsort((doc, h))
+        h, doc, n = h[order], doc[order], n[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        h, doc, n = h[new], doc[new], n[new]
+        cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        df = np.diff(np.append(cut, len(h)))
+        df = np.repeat(df, df)
+        many = df >= 2
+        # the cap on df only makes the most frequent shingles equal in an order that their hashes decide
+        h, doc, n, df = h[many], doc[many], n[many], np.minimum(df[many], (1 << 16) - 1).astype(np.uint16)
+        bucket = (mix64(doc.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+        order = np.lexsort((doc, bucket))
+        h, doc, n, df, bucket = h[order], doc[order], n[order], df[order], bucket[order]
+        rows = []
+        at = np.searchsorted(bucket, np.arange(n_buckets + 1))
+        for b in np.flatnonzero(at[1:] > at[:-1]):
+            lo, hi = at[b], at[b + 1]
+            first = np.flatnonzero(np.concatenate([[True], doc[lo + 1 : hi] != doc[lo : hi - 1]]))
+            count = np.diff(np.append(first, hi - lo)).astype(np.int32)
+            low, high = (h[lo:hi] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (h[lo:hi] >> np.uint64(32)).astype(np.uint16)
+            rows.append((b, doc[lo:hi][first].tobytes(), n[lo:hi][first].tobytes(), count.tobytes(), low.tobytes(), high.tobytes(), df[lo:hi].tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "docs", "ns", "counts", "low", "high", "df"]).astype({"bucket": np.int32})
+
+    return run
+
+
+def _assemble(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket of documents: those with enough shared shingles to link with anything, and their sets.
+
+    Columns: shared shingles ascending, document frequencies, bitmap, tokens that share a bit, minimum hashes.
+    """
+    join = lambda c, kind: np.frombuffer(b"".join(pdf[c]), kind)
+    count = join("counts", np.int32)
+    doc, n = np.repeat(join("docs", np.int64), count), np.repeat(join("ns", np.int32), count).astype(np.int64)
+    h = join("low", np.uint32).astype(np.uint64) | (join("high", np.uint16).astype(np.uint64) << np.uint64(32))
+    df = join("df", np.uint16).astype(np.uint32)
     order = np.lexsort((h, doc))
-    h, doc, df = h[order], doc[order], df[order]
+    doc, n, h, df = doc[order], n[order], h[order], df[order]
     cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    stop = np.append(cut[1:], len(h))
-    df = np.minimum(df, (1 << 32) - 1).astype(np.uint32)
-    return pd.DataFrame({"doc_id": doc[cut], "shared": stop - cut, "h": [_pack(h[a:b]) for a, b in zip(cut, stop)], "df": [df[a:b].tobytes() for a, b in zip(cut, stop)]})
+    stop = np.append(cut[1:], len(doc))
+    salts = mix64(np.arange(1, STARS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
+    rows = []
+    for a, b in zip(cut, stop):
+        if b - a >= _least_shared(int(n[a])):
+            own = h[a:b]
+            bits, extra = bitmap(mix64(own))
+            stars = [int(mix64(own ^ s).min().view(np.int64)) for s in salts]
+            rows.append((int(doc[a]), int(n[a]), b - a, _pack(own), df[a:b].tobytes(), bits.tobytes(), extra, stars))
+    return pd.DataFrame(rows, columns=["doc_id", "n", "shared", "h", "df", "bits", "extra", "stars"])
 
 
 def _least_shared(n: np.ndarray | int, num: int = NUM, den: int = DEN):
@@ -204,28 +241,6 @@ def _least_shared(n: np.ndarray | int, num: int = NUM, den: int = DEN):
     return -(-num * n // den)
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole sets of the candidates: shared shingles ascending, document frequencies, bitmap, tokens that share a bit, minimum hashes."""
-    salts = mix64(np.arange(1, STARS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
-    for batch in batches:
-        hs, dfs, bits, extra, stars = [], [], [], [], []
-        for blobs, counts in zip(batch.column("hs").to_pylist(), batch.column("dfs").to_pylist()):
-            h = np.concatenate([_unpack(b) for b in blobs])
-            df = np.concatenate([np.frombuffer(b, np.uint32) for b in counts])
-            order = np.argsort(h)
-            h, df = h[order], df[order]
-            hs.append(_pack(h))
-            dfs.append(df.tobytes())
-            b, x = bitmaps(mix64(h), np.array([0, len(h)]))
-            bits.append(b.tobytes())
-            extra.append(int(x[0]))
-            stars.append([int(np.int64(mix64(h ^ s).min().view(np.int64))) for s in salts])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n"), batch.column("shared"), pa.array(hs, pa.binary()), pa.array(dfs, pa.binary()), pa.array(bits, pa.binary()), pa.array(extra, pa.int32()), pa.array(stars, pa.list_(pa.int64()))],
-            names=["doc_id", "n", "shared", "h", "df", "bits", "extra", "stars"],
-        )
-
-
 def _first_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, h) for the shared shingles, rarest first, of which linked sets must have one in common."""
     for batch in batches:
@@ -392,15 +407,10 @@ def link(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataF
     sizes, classes = _classes(docs, scratch)
     total = classes.agg(F.sum("n")).first()[0] or 0
     parts = n_partitions(spark, total, 1 << 20)
-    dealt = _representatives(docs, sizes, classes, scratch).mapInArrow(_deal(parts), "part int, values binary, numbers binary, docs binary")
-    shared = dealt.groupBy("part").applyInPandas(_shared, "doc_id long, shared long, h binary, df binary")
-    shared = scratch.write(shared, "shared")
-    enough = shared.groupBy("doc_id").agg(F.sum("shared").alias("shared")).join(classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min_by("n", "fa").alias("n")), "doc_id")
-    enough = scratch.write(enough.where(f"{DEN} * shared >= {NUM} * n"), "enough")
-    sets = shared.select("doc_id", "h", "df").join(enough, "doc_id").groupBy("doc_id").agg(F.first("n").alias("n"), F.first("shared").alias("shared"), F.collect_list(F.struct("h", "df")).alias("x"))
-    sets = sets.select("doc_id", "n", "shared", F.col("x.h").alias("hs"), F.col("x.df").alias("dfs")).mapInArrow(_gather, "doc_id long, n long, shared long, h binary, df binary, bits binary, extra int, stars array<long>")
+    dealt = _representatives(docs, sizes, classes, scratch).mapInArrow(_deal(parts), "part int, values binary, numbers binary, docs binary, ns binary")
+    shared = dealt.groupBy("part").applyInPandas(_shared(parts), "bucket int, docs binary, ns binary, counts binary, low binary, high binary, df binary")
+    sets = shared.groupBy("bucket").applyInPandas(_assemble, "doc_id long, n long, shared long, h binary, df binary, bits binary, extra int, stars array<long>")
     sets = scratch.write(sets, "sets")
-    scratch.drop("shared")
     stars = sets.select("doc_id", F.posexplode("stars").alias("k", "star"))
     leaders = stars.groupBy("k", "star").agg(F.min("doc_id").alias("a"), F.count("*").alias("m")).where("m > 1")
     near = stars.join(leaders, ["k", "star"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
@@ -420,7 +430,7 @@ def join_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     # only sets with several documents or with links have a component other than their own document
     named = classes.join(linked.withColumnRenamed("id", "rep"), "rep", "left").where("copies > 1 OR comp IS NOT NULL").select("fa", "fb", F.coalesce("comp", "rep").alias("comp"))
     named = scratch.write(named, "named")
-    for name in ("sets", "enough", "meetings"):
+    for name in ("sets", "meetings"):
         scratch.drop(name)
     if named.count() * 64 <= BROADCAST_BYTES:
         named = F.broadcast(named)
