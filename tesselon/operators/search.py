@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tesselon.functions import scoring
 from tesselon.functions.analysis import ANALYZERS, Analyzer
-from tesselon.operators.nodes import Node
+from tesselon.operators.nodes import Node, ordered_within
 from tesselon.plans.schema import Field, Schema
 
 VALUE_GAP = 100
@@ -183,3 +183,23 @@ def match_postings(index: DataFrame, stats: DataFrame, terms: list[str], every:
     one = scoring.bm25(F.col("tf"), F.col("length"), F.col("average"), scoring.idf(F.col("n_docs"), F.col("df"))) * times[F.col("term")]
     out = scored_rows.select("doc_id", one.alias("score")).groupBy("doc_id").agg(F.sum("score").alias("score"), F.count("*").alias("n"))
     return (out.where(F.col("n") == len(distinct)) if every else out).drop("n")
+
+
+def phrase_postings(index: DataFrame, stats: DataFrame, terms: list[str], slop: int = 0) -> DataFrame:
+    """(doc_id, score) of a phrase from an inverted index: the places of its terms meet per document, nothing else is read."""
+    distinct = list(dict.fromkeys(terms))
+    rows = index.where(F.col("term").isin(distinct))
+    frequency = rows.groupBy("term").agg(F.count("*").alias("df"))
+    times = F.create_map(*[F.lit(x) for t in distinct for x in (t, float(terms.count(t)))])
+    both = rows.join(F.broadcast(frequency), "term").crossJoin(F.broadcast(stats))  # as many rows as terms, and one
+    one = scoring.bm25(F.col("tf"), F.col("length"), F.col("average"), scoring.idf(F.col("n_docs"), F.col("df"))) * times[F.col("term")]
+    met = both.select("doc_id", "term", "places", one.alias("s")).groupBy("doc_id")
+    met = met.agg(F.sum("s").alias("score"), F.count("*").alias("n"), *[F.first(F.when(F.col("term") == t, F.col("places")), ignorenulls=True).alias(f"_p{i}") for i, t in enumerate(distinct)])
+    near = F.lit(True) if len(terms) == 1 else ordered_within([F.col(f"_p{distinct.index(t)}") for t in terms], slop)
+    return met.where((F.col("n") == len(distinct)) & near).select("doc_id", "score")
+
+
+def field_statistics(corpus: Corpus, name: str) -> DataFrame:
+    """One row (n_docs, average) for a text field; small enough to be stored beside the postings."""
+    size = F.size(Corpus.tokens(name))
+    return corpus.docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.try_divide(F.sum(size).cast("double"), F.count_if(size > 0)), F.lit(0.0)).alias("average"))

@@ -41,6 +41,13 @@ def export_jsonl(docs: DataFrame, path: str, key: str) -> None:
     docs.orderBy(key).write.mode("overwrite").json(path)
 
 
+def write_postings(corpus: Corpus, field: str, path: str, files: int | None = None) -> None:
+    """The inverted index of a field, in ranges of (term, doc_id): a look-up reads the few files and row groups of its terms, and one frequent term spreads over several."""
+    rows = postings(corpus, field)
+    ranged = rows.repartitionByRange(files, "term", "doc_id") if files else rows.repartitionByRange("term", "doc_id")
+    ranged.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
+
+
 class SearchIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -85,9 +92,7 @@ class SearchIndex:
         Corpus(docs, schema).docs.write.mode("overwrite").parquet(f"{self.path}/v={v}/docs")
         stored = Corpus(self.spark.read.parquet(f"{self.path}/v={v}/docs"), schema)
         for f in schema.of_type("text"):
-            # files hold ranges of terms, so a look-up reads few of them
-            inverted = postings(stored, f.name).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-            inverted.write.mode("overwrite").parquet(f"{self.path}/v={v}/postings_{f.name}")
+            write_postings(stored, f.name, f"{self.path}/v={v}/postings_{f.name}")
         self._put("current", str(v))
         return v
 

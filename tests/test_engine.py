@@ -7,7 +7,7 @@ from tesselon.functions import analysis, scoring
 from tesselon.functions.porter2 import stem
 from tesselon.operators import facets, knn, ranking
 from tesselon.operators.nodes import BM25F, Bool, Function, FunctionScore, Fuzzy, GeoDistance, Match, MatchAll, Phrase, Prefix, QueryError, Range, Regexp, SpanNear, Term, Wildcard
-from tesselon.operators.search import Corpus, match_postings, postings, rescored, scored, search
+from tesselon.operators.search import Corpus, field_statistics, match_postings, phrase_postings, postings, rescored, scored, search
 from tesselon.plans.schema import Field, Schema, SchemaError
 
 SAMPLE = [
@@ -102,6 +102,14 @@ def test_postings_equal_rows(spark, sample):
         assert a == pytest.approx(b) and a
 
 
+def test_phrase_from_postings_equals_rows(spark, sample):
+    stats = field_statistics(sample, "title")
+    for text, slop in (("brown fox", 0), ("quick fox", 0), ("quick fox", 1), ("brown brown", 5), ("fox", 0)):
+        a = {r["doc_id"]: r["score"] for r in phrase_postings(postings(sample, "title"), stats, text.split(), slop).collect()}
+        b = {r["doc_id"]: r["score"] for r in scored(sample, Phrase("title", text, slop)).collect()}
+        assert a == pytest.approx(b), text
+
+
 def test_function_scores(spark, sample):
     one = FunctionScore(Term("title", "quick"), (Function("field_value_factor", field="year", factor=0.001),), boost_mode="replace")
     assert {r["_id"]: round(r["score"], 3) for r in scored(sample, one).collect()} == {"a": 2.001, "c": 1.999}
