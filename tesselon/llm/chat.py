@@ -16,7 +16,7 @@ first; a null conv_id is a conversation of its own; no rows give no rows; furthe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PART = "struct<type:string,text:string,ref:string,n_tokens:bigint>"
@@ -58,40 +58,35 @@ def format_conversations(messages: DataFrame, loss_role: str = "assistant") -> D
     Columns: conv_id, formatted, loss_mask (for each turn start and end, in code points of `formatted`, of the text
     under the loss; equal where there is none), attachments (turn_no, ordinal, type, ref, n_tokens), n_media_tokens.
     """
-    turns = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", _text(F.col("role")).alias("role"), F.coalesce(F.col("content"), F.array().cast(f"array<{PART}>")).alias("content")))).alias("turns"))
-    # attachments are numbered through the conversation: how many come before each turn
-    media = turns.withColumn("n_media", F.transform("turns", lambda t: F.size(F.filter(t["content"], lambda p: ~_is_text(p)))))
-    media = media.withColumn("before", F.expr("transform(n_media, (n, i) -> aggregate(slice(n_media, 1, i), 0, (a, b) -> a + b))"))
-
-    def visit(turn: Column, first: Column) -> Column:
-        parts = turn["content"]
-
-        def flatten(part: Column, i: Column) -> Column:
-            ordinal = first + F.size(F.filter(F.slice(parts, F.lit(1), i + 1), lambda p: ~_is_text(p)))
-            mark = F.concat(F.lit("<"), escape(_text(part["type"]), ROLE_ESCAPES), F.lit(":"), ordinal.cast("string"), F.lit(">"))
-            return F.when(_is_text(part), escape(_text(part["text"]))).otherwise(mark)
-
-        return F.array_join(F.transform(parts, flatten), "")
-
-    head = lambda t: F.concat(F.lit(HEAD), escape(t["role"], ROLE_ESCAPES), F.lit(":\n"))
-    pieces = F.transform("turns", lambda t, i: F.struct(head(t).alias("head"), visit(t, F.get(F.col("before"), i)).alias("body"), (t["role"] == loss_role).alias("loss")))
-    out = media.withColumn("pieces", pieces)
-    place = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["head"]) + F.length(p["body"]) + len(END)).alias("at"),
-            F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(p["head"])).alias("start"), (acc["at"] + F.length(p["head"]) + F.when(p["loss"], F.length(p["body"])).otherwise(0)).alias("end")))).alias("spans"),
-        ),
-    )["spans"]
-    found = F.flatten(F.transform("turns", lambda t, i: F.transform(F.filter(t["content"], lambda p: ~_is_text(p)), lambda p, j: F.struct(i.alias("turn_no"), (F.get(F.col("before"), i) + j + 1).alias("ordinal"), p["type"].alias("type"), p["ref"].alias("ref"), F.coalesce(p["n_tokens"], F.lit(0)).alias("n_tokens")))))
-    out = out.withColumn("attachments", found)
-    return out.select(
+    # one row a turn until the end: places and numbers are running sums, linear in a conversation of any length
+    turns = messages.select("conv_id", "turn", _text(F.col("role")).alias("role"), F.coalesce(F.col("content"), F.array().cast(f"array<{PART}>")).alias("content"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "content")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    media = F.filter("content", lambda p: ~_is_text(p))
+    turns = turns.select("*", (F.row_number().over(order) - 1).alias("no"), so_far(F.size(media)).cast("int").alias("first"))
+
+    def flatten(part: Column, i: Column) -> Column:
+        ordinal = F.col("first") + F.size(F.filter(F.slice("content", F.lit(1), i + 1), lambda p: ~_is_text(p)))
+        mark = F.concat(F.lit("<"), escape(_text(part["type"]), ROLE_ESCAPES), F.lit(":"), ordinal.cast("string"), F.lit(">"))
+        return F.when(_is_text(part), escape(_text(part["text"]))).otherwise(mark)
+
+    turns = turns.select(
+        "conv_id", "no", "role",
+        F.concat(F.lit(HEAD), escape(F.col("role"), ROLE_ESCAPES), F.lit(":\n")).alias("head"),
+        F.array_join(F.transform("content", flatten), "").alias("body"),
+        F.transform(media, lambda p, j: F.struct(F.col("no").alias("turn_no"), (F.col("first") + j + 1).alias("ordinal"), p["type"].alias("type"), p["ref"].alias("ref"), F.coalesce(p["n_tokens"], F.lit(0)).alias("n_tokens"))).alias("attachments"),
+    )
+    place = Window.partitionBy("conv_id").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("head") + F.length("body") + len(END)).over(place), F.lit(0)) + F.length("head")
+    turns = turns.select("conv_id", "no", F.concat("head", "body", F.lit(END)).alias("text"), start.alias("start"), F.when(F.col("role") == loss_role, F.length("body")).otherwise(0).alias("loss"), "attachments")
+    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("no", "text", "start", "loss", "attachments"))).alias("t"))
+    return whole.select(
         "conv_id",
-        F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "").alias("formatted"),
-        place.alias("loss_mask"),
-        "attachments",
-        F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["n_tokens"]).alias("n_media_tokens"),
+        F.array_join(F.transform("t", lambda t: t["text"]), "").alias("formatted"),
+        F.transform("t", lambda t: F.struct(t["start"].alias("start"), (t["start"] + t["loss"]).alias("end"))).alias("loss_mask"),
+        F.flatten(F.transform("t", lambda t: t["attachments"])).alias("attachments"),
+        F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a + F.aggregate(t["attachments"], F.lit(0).cast("long"), lambda b, x: b + x["n_tokens"])).alias("n_media_tokens"),
     )
 
 
