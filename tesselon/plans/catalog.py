@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselon.functions import analysis
-from tesselon.operators import facets, knn, nodes, ranking
+from tesselon.operators import facets, knn, nodes, quantisation, ranking
 from tesselon.operators.nodes import BM25F, Bool, Function, FunctionScore, Fuzzy, GeoDistance, Match, MatchAll, MatchNone, Phrase, Prefix, Range, Regexp, SpanNear, Term, Wildcard
 from tesselon.operators.search import Context, Corpus, match_postings, postings, rescored, scored, search, top
 from tesselon.plans.schema import Field, Schema
@@ -428,6 +428,13 @@ def knn_int8(spark, sf_dir):
     return _rank(knn.knn_quantised(_vectors(spark, sf_dir), "embedding", _query_vector(), 10, "l2"))
 
 
+@query("knn_pq")
+def knn_pq(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    book = quantisation.train(v, "embedding", 64, iterations=4)
+    return _rank(quantisation.knn_coded(v, "embedding", book, _query_vector(), 10, "l2", candidates=100))
+
+
 @query("knn_batch", """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0)
 SELECT query_id, vec_id AS doc_id, round((list_cosine_similarity(embedding::DOUBLE[], v) + 1) / 2, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(embedding::DOUBLE[], v) DESC, vec_id) AS INT) AS rank
 FROM q, embeddings QUALIFY rank <= 5""")

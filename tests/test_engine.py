@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tesselon.functions import analysis, scoring
 from tesselon.functions.porter2 import stem
-from tesselon.operators import facets, knn, ranking
+from tesselon.operators import facets, knn, quantisation, ranking
 from tesselon.operators.nodes import BM25F, Bool, Function, FunctionScore, Fuzzy, GeoDistance, Match, MatchAll, Phrase, Prefix, QueryError, Range, Regexp, SpanNear, Term, Wildcard
 from tesselon.operators.search import Corpus, field_statistics, match_postings, phrase_postings, postings, rescored, scored, search
 from tesselon.plans.schema import Field, Schema, SchemaError
@@ -264,6 +264,21 @@ def test_vector_checks_and_fusion(spark):
     assert [(r["doc_id"], round(r["score"], 6)) for r in knn.fuse([a, b], 3).collect()] == [(2, round(1 / 61 + 1 / 62, 6)), (1, round(1 / 61, 6)), (3, round(1 / 62, 6))]
 
 
+def test_product_quantisation(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(20, 16))
+    m = centres[rng.integers(0, 20, 400)] + rng.normal(scale=0.1, size=(400, 16))
+    docs = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(999, None)], "doc_id long, v array<double>").cache()
+    book = quantisation.train(docs, "v", 16, centroids=32, iterations=5)
+    assert book.centroids.shape == (8, 32, 2) and quantisation.parts_for(6) == 2
+    for metric in ("l2", "cosine"):
+        want = {r["doc_id"] for r in knn.knn(docs, "v", m[0], 10, metric).collect()}
+        got = {r["doc_id"] for r in quantisation.knn_coded(docs, "v", book, m[0], 10, metric).collect()}
+        assert len(want & got) >= 9
+
+
 def test_schemas():
     s = Schema((Field("a", "text"),))
     assert Schema.from_json(s.to_json()) == s and s.extended([Field("b", "long")]).ddl() == "`a` string, `b` bigint"
