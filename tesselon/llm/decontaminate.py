@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RATE, MIN_CHARS = 0.05, 40
+RATE, MIN_CHARS = 0.07, 40
 BLOCK_CHARS = 8 << 20
 
 
