@@ -2,7 +2,7 @@
 
 Rules and listed URLs are entries (host, path, action). A URL's possible entries are its host and the host's parents,
 each with the path's prefixes of the lengths that entries have. Their keys are probed in a blocked Bloom filter
-(512-bit blocks, eight bits of one block a key); the few that pass go to an exact join on the key, which removes
+(512-bit blocks, seven bits of one block a key); the few that pass go to an exact join on the key, which removes
 false positives, and the longest entry wins.
 
 The filter has at most MAX_BITS bits whatever the list's size, so its broadcast is bounded; a list too long for
@@ -25,16 +25,14 @@ from pyspark.sql import functions as F
 
 #: Entries of the production query: (host, path, action).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-BITS_PER_KEY, PROBES, BLOCK, MAX_BITS = 16, 8, 512, 1 << 28
+BITS_PER_KEY, PROBES, BLOCK, MAX_BITS = 16, 7, 512, 1 << 28
 
 
 def key_bits(keys: Sequence[str], n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Block number of each key, and the eight bit numbers within the block."""
+    """Block number of each key, and the bit numbers within the block: nine bits of a hash each."""
     raw = np.frombuffer(b"".join(hashlib.blake2b(k.encode(), digest_size=16).digest() for k in keys), np.uint64).reshape(-1, 2)
-    block = (raw[:, 0] % np.uint64(n_blocks)).astype(np.int64)
-    shifts = np.arange(PROBES, dtype=np.uint64) * np.uint64(7)
-    low = raw[:, 1][:, None]
-    return block, ((((low >> shifts) & np.uint64(127)) + np.uint64(128) * (raw[:, 0][:, None] >> np.uint64(32) + shifts & np.uint64(3))) % np.uint64(BLOCK)).astype(np.int64)
+    shifts = np.arange(PROBES, dtype=np.uint64) * np.uint64(9)
+    return (raw[:, 0] % np.uint64(n_blocks)).astype(np.int64), ((raw[:, 1:] >> shifts) & np.uint64(BLOCK - 1)).astype(np.int64)
 
 
 class BlockedBloom:
