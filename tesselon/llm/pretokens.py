@@ -19,7 +19,8 @@ from tokenizers import Tokenizer
 PLAIN = re.compile("[\t\n\r\x20-\x7e¡-¬®-±´-¸º»¿-įı-ňŊ-ž]*")
 #: The tokenizer's own split, in Python's words, for those characters in lower case.
 SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-CACHE = 1 << 20
+#: Entries of a worker's dictionaries of chunks and of pieces: the first words met, so the frequent ones.
+CHUNKS, PIECES = 1 << 18, 1 << 19
 
 
 @lru_cache(maxsize=4)
@@ -28,16 +29,16 @@ def worker(path: str) -> Worker:
 
 
 class Known(dict):
-    """A dictionary that works out what it lacks, and starts anew when it holds CACHE entries."""
+    """A dictionary that works out what it lacks, and keeps it while it has fewer than `most` entries."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = CHUNKS):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= CACHE:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(self) < self.most:
+            self[key] = value
         return value
 
 
@@ -59,7 +60,7 @@ class Worker:
         self.tok.no_padding()
         self.mapped = Known(lambda c: "".join(self.pretokens(c)))
         self.pieces = Known(lambda chunk: tuple(map(self._mapped, parts(chunk))))
-        self.piece_ids = Known(lambda piece: tuple(t.id for t in self.tok.model.tokenize(self._mapped(piece))))
+        self.piece_ids = Known(lambda piece: tuple(t.id for t in self.tok.model.tokenize(self._mapped(piece))), PIECES)
         self.ids = Known(lambda chunk: tuple(chain.from_iterable(map(self.piece_ids.__getitem__, parts(chunk)))))
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
 
