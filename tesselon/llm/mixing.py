@@ -80,17 +80,19 @@ def plan(sizes: DataFrame, weights: Sequence[int], share: float, cap: float, scr
     slots = max(2048, n // 2000)
     queue = queue.where("target > 0").select("src", "key", "size", "upto", "source_size", "target", passes).withColumn("finish", finish)
     queue = scratch.write(queue.select("src", "key", "pass", "size", "finish", F.least(F.floor(F.col("finish") * slots), F.lit(8 * slots)).alias("slot")), "queue")
-    budget = targets.agg((F.lit(float(share)) * F.sum("source_size")).alias("budget"))
-    # `filled` before each slot; of the slots, the one where the budget ends is searched row by row
+    budget = float(share) * (targets.agg(F.sum("source_size")).first()[0] or 0)
+    # `filled` up to each slot; of the slots, the one where the budget ends is searched row by row
     per_slot = queue.groupBy("slot").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy(F.lit(0)).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    per_slot = per_slot.withColumn("filled", F.sum("words").over(upto)).crossJoin(F.broadcast(budget))
-    edge = per_slot.where("filled > budget").agg(F.min(F.struct("slot", F.col("filled") - F.col("words"))).alias("e")).select(F.col("e")["slot"].alias("edge"), F.col("e")["col2"].alias("edge_filled"))
-    placed = queue.crossJoin(F.broadcast(edge)).crossJoin(F.broadcast(budget))
-    whole = placed.where("edge IS NULL OR slot < edge").select("src", "pass", "key")
-    ordered = Window.partitionBy("slot").orderBy("finish", "key", "src", "pass").rowsBetween(Window.unboundedPreceding, 0)
-    part = placed.where("slot = edge").withColumn("run", F.col("edge_filled") + F.sum("size").over(ordered)).where("run <= budget").select("src", "pass", "key")
-    last = whole.unionByName(part).groupBy("src").agg(*[F.max(F.when(F.col("pass") == p, F.col("key"))).alias(f"last_{p + 1}") for p in range(PASSES)])
+    per_slot = per_slot.withColumn("filled", F.sum("words").over(upto)).where(F.col("filled") > budget)
+    edge = per_slot.agg(F.min(F.struct("slot", (F.col("filled") - F.col("words")).alias("before"))).alias("e")).first()["e"]
+    taken = queue.select("src", "pass", "key")
+    if edge is not None:
+        ordered = Window.partitionBy("slot").orderBy("finish", "key", "src", "pass").rowsBetween(Window.unboundedPreceding, 0)
+        run = F.lit(edge["before"]) + F.sum("size").over(ordered)
+        part = queue.where(F.col("slot") == edge["slot"]).withColumn("run", run).where(F.col("run") <= budget)
+        taken = queue.where(F.col("slot") < edge["slot"]).select("src", "pass", "key").unionByName(part.select("src", "pass", "key"))
+    last = taken.groupBy("src").agg(*[F.max(F.when(F.col("pass") == p, F.col("key"))).alias(f"last_{p + 1}") for p in range(PASSES)])
     return targets.join(last, "src", "left")
 
 
