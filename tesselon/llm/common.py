@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 #: No broadcast of ours exceeds this many bytes; beyond it the operators shuffle.
 BROADCAST_BYTES = 48 << 20
+#: Texts are worked on in slices of about as many bytes, as the kernels take some fifty times as much.
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +85,18 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that their texts have about `most` bytes at most, or are one text."""
+    for batch in batches:
+        size = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(batch):
+            before = size[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(size, before + most, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def lower_ascii(raw: np.ndarray) -> np.ndarray:
     return raw + (((raw >= 65) & (raw <= 90)) * np.uint8(32))
 

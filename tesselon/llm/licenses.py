@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.llm.common import lower_ascii, runs, utf8, word_hashes
+from tesselon.llm.common import lower_ascii, runs, slices, utf8, word_hashes
 
 #: Base phrases and their labels, fixed by the contract.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -209,7 +209,7 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
         own = _scanners[key]
         types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
         names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-        for batch in batches:
+        for batch in slices(batches):
             columns = list(zip(*own.scan(batch.column("text")))) or [[]] * 7
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, types)]], names=["doc_id", *names])
 

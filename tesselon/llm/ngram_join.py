@@ -31,11 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselon.llm.common import BROADCAST_BYTES, Scratch, lower_ascii, mix64, n_partitions, utf8, word_hashes, words
+from tesselon.llm.common import BROADCAST_BYTES, Scratch, lower_ascii, mix64, n_partitions, slices, utf8, word_hashes, words
 from tesselon.llm.components import components
 from tesselon.llm.signature_tree import Tree, bitmap, linked_leaves, may_link
 
@@ -43,7 +42,6 @@ WIDTH, NUM, DEN = 5, 3, 4
 BITS = 48
 STARS = 6
 CHUNK = 512
-SLICE_BYTES = 2 << 20
 _CLIP = np.uint64(64 - BITS)
 
 
@@ -85,18 +83,6 @@ def _fingerprints(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[0], out[1]
 
 
-def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that their texts have about `most` bytes at most, or are one text."""
-    for batch in batches:
-        size = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < len(batch):
-            before = size[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(size, before + most, side="right")))
-            yield batch.slice(at, to - at)
-            at = to
-
-
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         h, at = shingle_sets(batch.column("text"))
