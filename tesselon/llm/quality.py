@@ -2,9 +2,11 @@
 
 Base statistics of every whole text are followed by minimum covariance determinant estimates per (language, source):
 transformed statistic vectors, a start from medians and scaled absolute deviations, then concentration steps, each
-taking the mean and covariance of the half-plus share of vectors nearest to the last estimate. A document whose
-squared Mahalanobis distance from its group's estimate exceeds the cutoff is rejected. Groups with fewer than
-`min_group` documents take the estimate of their language, and languages with fewer that of all documents.
+taking the mean and covariance of the half-plus share of vectors nearest to the last estimate. Every group's estimate
+is shrunk towards its language's, and that towards all documents': with n documents its own weighs n / (n + min_group).
+A document is rejected if its squared Mahalanobis distance exceeds the chi-square quantile, times its group's median
+distance (of all its documents, shrunk alike) over the chi-square median where that is more than 1: the floors below
+make distances smaller on purpose, so a lower median doesn't lower the cutoff.
 
 All estimates are grouped aggregates of five-number vectors (sums and approximate quantiles), so a group of any size is
 aggregated map-side; the text is read once and only the vectors are kept.
@@ -19,13 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.llm.common import SPACES, Scratch
+from tesselon.llm.common import BROADCAST_BYTES, SPACES, Scratch
 
-#: Chi-square 1 - 1e-9 quantile with five degrees of freedom is 49.9; heavier tails than a normal's are allowed for by this factor.
-CUTOFF = 49.9 * 5
+#: Chi-square 1 - 1e-9 quantile and median, five degrees of freedom.
+CUTOFF, MEDIAN = 49.9, 4.351
 DIMENSIONS = ("length", "word_length", "symbols", "repeated", "dup_lines")
-#: Least standard deviation of each transformed statistic.
-FLOORS = (0.25, 0.10, 0.03, 0.05, 0.10)
+#: Least standard deviation of each transformed statistic. Of the repeats, half the step that one repeated window makes in
+#: a text of 150 words (sqrt(6 / 150) / 2), and that one repeated line makes (log(2) / 2): one line of boilerplate is no outlier.
+FLOORS = (0.25, 0.10, 0.03, 0.10, 0.35)
 STEPS, SHARE, MIN_GROUP = 3, 0.75, 200
 
 
@@ -125,39 +128,63 @@ def _whitening(cov: list[list[Column]], frame: DataFrame) -> DataFrame:
 
 
 _K = range(len(DIMENSIONS))
-_MODEL = [f"m_{i}" for i in _K] + [f"l_{i}_{j}" for i in _K for j in range(i + 1)]
+_PAIRS = [(i, j) for i in _K for j in range(i + 1)]
+_MODEL = [f"m_{i}" for i in _K] + [f"l_{i}_{j}" for i, j in _PAIRS]
+_MOMENTS = [f"m_{i}" for i in _K] + [f"v_{i}_{j}" for i, j in _PAIRS]
+#: Bytes of a group's model in a broadcast, at most about.
+_MODEL_BYTES = 1024
 
 
 def _model_distance() -> Column:
     return _distance([F.col(f"x_{i}") for i in _K], [F.col(f"m_{i}") for i in _K], [[F.col(f"l_{i}_{j}") for j in range(i + 1)] for i in _K])
 
 
-def fit(vectors: DataFrame, scratch: Scratch, steps: int = STEPS, share: float = SHARE) -> DataFrame:
-    """One row a group g: the robust mean m_i and whitening l_i_j. vectors: (g, x_0...), best on disk.
+def _sent(frame: DataFrame, groups: int) -> DataFrame:
+    """frame, of a row a group, marked for a broadcast if it is small enough for one."""
+    return F.broadcast(frame) if groups * _MODEL_BYTES <= BROADCAST_BYTES else frame
+
+
+def fit(vectors: DataFrame, scratch: Scratch, groups: int, steps: int = STEPS, share: float = SHARE) -> DataFrame:
+    """One row a group g: the robust mean m_i and covariance v_i_j. vectors: (g, x_0...), best on disk; groups: how many.
 
     The inputs of a group are only aggregated: approximate medians, then sums over the nearest `share` of its vectors.
     """
     scale = 1.4826
     middle = vectors.groupBy("g").agg(*[F.percentile_approx(f"x_{i}", 0.5, 1000).alias(f"m_{i}") for i in _K])
-    off = vectors.join(F.broadcast(middle), "g")
+    off = vectors.join(_sent(middle, groups), "g")
     spread = off.groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(f"x_{i}") - F.col(f"m_{i}")), 0.5, 1000).alias(f"s_{i}") for i in _K])
     model = middle.join(spread, "g")
     zero = F.lit(0.0)
-    start = [[F.greatest(F.pow(F.col(f"s_{i}") * scale, 2), F.lit(FLOORS[i] ** 2)) if i == j else zero for j in range(i + 1)] for i in _K]
-    model = scratch.write(_whitening(start, model).select("g", *_MODEL), "model0")
+    start = [F.greatest(F.pow(F.col(f"s_{i}") * scale, 2), F.lit(FLOORS[i] ** 2)) if i == j else zero for i, j in _PAIRS]
+    moments = scratch.write(model.select("g", *[f"m_{i}" for i in _K], *[c.alias(f"v_{i}_{j}") for c, (i, j) in zip(start, _PAIRS)]), "moments0")
     for step in range(1, steps + 1):
-        far = vectors.join(F.broadcast(model), "g").select("g", *[f"x_{i}" for i in _K], _model_distance().alias("d"))
+        model = _whitened(moments).select("g", *_MODEL)
+        far = vectors.join(_sent(model, groups), "g").select("g", *[f"x_{i}" for i in _K], _model_distance().alias("d"))
         near = far.groupBy("g").agg(F.percentile_approx("d", share, 1000).alias("limit"))
-        kept = far.join(F.broadcast(near), "g").where("d <= limit")
+        kept = far.join(_sent(near, groups), "g").where("d <= limit")
         sums = kept.groupBy("g").agg(
             *[F.avg(f"x_{i}").alias(f"m_{i}") for i in _K],
-            *[F.covar_pop(f"x_{i}", f"x_{j}").alias(f"v_{i}_{j}") for i in _K for j in range(i + 1)],
+            *[F.covar_pop(f"x_{i}", f"x_{j}").alias(f"v_{i}_{j}") for i, j in _PAIRS],
         )
         # the nearest three quarters of a five-dimensional normal have this much less variance than all of it
         widen = 1.0 / 0.61
-        cov = [[F.greatest(F.col(f"v_{i}_{i}") * widen, F.lit(FLOORS[i] ** 2)) if i == j else F.col(f"v_{i}_{j}") * widen for j in range(i + 1)] for i in _K]
-        model = scratch.write(_whitening(cov, sums).select("g", *_MODEL), f"model{step}")
-    return model
+        cov = [F.greatest(F.col(f"v_{i}_{i}") * widen, F.lit(FLOORS[i] ** 2)) if i == j else F.col(f"v_{i}_{j}") * widen for i, j in _PAIRS]
+        moments = scratch.write(sums.select("g", *[f"m_{i}" for i in _K], *[c.alias(f"v_{i}_{j}") for c, (i, j) in zip(cov, _PAIRS)]), f"moments{step}")
+    return moments
+
+
+def _whitened(moments: DataFrame) -> DataFrame:
+    """moments (m_i, v_i_j) and the whitening l_i_j."""
+    return _whitening([[F.col(f"v_{i}_{j}") for j in range(i + 1)] for i in _K], moments)
+
+
+def _shrunk(sizes: DataFrame, values: DataFrame, names: list[str], groups: int, min_group: int) -> DataFrame:
+    """sizes (g1, g2, g3, n1, n2) and each g1's values: its own shrunk towards g2's, and those towards g3's, by their numbers of documents."""
+    out = sizes
+    for k in (1, 2, 3):
+        out = out.join(_sent(values.select(F.col("g").alias(f"g{k}"), *[F.col(c).alias(f"{c}_{k}") for c in names]), groups), f"g{k}")
+    own, language = (F.col(n) / (F.col(n) + F.lit(float(min_group))) for n in ("n1", "n2"))
+    return out.select(*sizes.columns, *[(own * F.col(f"{c}_1") + (1 - own) * (language * F.col(f"{c}_2") + (1 - language) * F.col(f"{c}_3"))).alias(c) for c in names])
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -167,20 +194,24 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def models(vectors: DataFrame, scratch: Scratch, min_group: int = MIN_GROUP) -> DataFrame:
-    """(g, model columns) for every (lang, source) pair of vectors (g1 pair, g2 language, g3 all): each takes the finest estimate with enough documents."""
-    sizes = vectors.groupBy("g1", "g2").agg(F.count("*").alias("n1"))
-    by_lang = sizes.groupBy("g2").agg(F.sum("n1").alias("n2"))
-    chosen = sizes.join(by_lang, "g2").select("g1", F.when(F.col("n1") >= min_group, F.col("g1")).when(F.col("n2") >= min_group, F.col("g2")).otherwise(F.lit("all")).alias("g"))
-    chosen = scratch.write(chosen, "chosen")
-    kinds = {r[0] for r in chosen.select(F.when(F.col("g") == F.col("g1"), 1).when(F.col("g") == "all", 3).otherwise(2)).distinct().collect()}
+    """(g1, model columns, scale) for every (lang, source) pair of vectors (g1 pair, g2 language, g3 all); scale multiplies the cutoff."""
+    sizes = vectors.groupBy("g1", "g2", "g3").agg(F.count("*").alias("n1"))
+    sizes = scratch.write(sizes.join(sizes.groupBy("g2").agg(F.sum("n1").alias("n2")), "g2"), "sizes")
+    groups = 2 * sizes.count() + 1
     x = [f"x_{i}" for i in _K]
-    needed = [vectors.select(F.col(f"g{k}").alias("g"), *x) for k in sorted(kinds)] if kinds else [vectors.select(F.col("g1").alias("g"), *x)]
-    every = needed[0]
-    for more in needed[1:]:
-        every = every.unionByName(more)
-    wanted = chosen.select("g").distinct()
-    fitted = fit(every.join(F.broadcast(wanted), "g", "left_semi"), scratch)
-    return scratch.write(chosen.join(fitted, "g").drop("g"), "models")
+    levels = lambda frame, *names: frame.select(F.explode(F.array("g1", "g2", "g3")).alias("g"), *names)
+    moments = fit(scratch.write(levels(vectors, *x), "levels"), scratch, groups)
+    # deviations are shrunk by their logarithms and covariances as correlations, so that a few junk texts of a small group don't widen it
+    root = lambda i: F.sqrt(f"v_{i}_{i}")
+    rated = moments.select("g", *[f"m_{i}" for i in _K], *[(F.log(root(i)) if i == j else F.col(f"v_{i}_{j}") / root(i) / root(j)).alias(f"v_{i}_{j}") for i, j in _PAIRS])
+    shrunk = _shrunk(sizes, rated, _MOMENTS, groups, min_group)
+    deviation = lambda i: F.exp(f"v_{i}_{i}")
+    whitened = _whitened(shrunk.select(*sizes.columns, *[f"m_{i}" for i in _K], *[((F.lit(1.0) if i == j else F.col(f"v_{i}_{j}")) * deviation(i) * deviation(j)).alias(f"v_{i}_{j}") for i, j in _PAIRS]))
+    shrunk = scratch.write(whitened.select(*sizes.columns, *_MODEL), "shrunk")
+    far = vectors.join(_sent(shrunk.select("g1", *_MODEL), groups), "g1").select("g1", "g2", "g3", _model_distance().alias("d"))
+    medians = scratch.write(levels(far, "d").groupBy("g").agg(F.percentile_approx("d", 0.5, 1000).alias("d")), "medians")
+    scales = _shrunk(sizes, medians, ["d"], groups, min_group).select("g1", F.greatest(F.col("d") / MEDIAN, F.lit(1.0)).alias("scale"))
+    return scratch.write(shrunk.select("g1", *_MODEL).join(_sent(scales, groups), "g1"), "models")
 
 
 def _groups() -> list[Column]:
@@ -206,7 +237,7 @@ def _judge(flat: DataFrame, scratch: Scratch, cutoff: float, min_group: int) ->
     vectors = flat.select("*", *[v.alias(f"x_{i}") for i, v in enumerate(_vector())])
     fitted = models(vectors.where("NOT base_failed").select("g1", "g2", "g3", *[f"x_{i}" for i in _K]), scratch, min_group)
     judged = vectors.join(fitted, "g1", "left").withColumn("distance", F.when(~F.col("base_failed"), _model_distance()))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance") / F.col("scale"), F.lit(0.0)) <= cutoff))
 
 
 def quality_filter(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

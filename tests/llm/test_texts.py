@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesselon.llm import chat, licenses, mixing, quality, toxicity, url_filter
+from tesselon.llm.common import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -152,6 +153,41 @@ def test_quality_rejects_outliers_only(spark):
     assert all(got[i] == (i % 20 != 0) for i in got)
 
 
+def test_quality_kinds_of_outliers_and_boilerplate(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    rows, bad = [], set()
+    for i in range(1200):
+        w = [word() for _ in range(rng.randrange(80, 400))]
+        kind, text = i % 60, " ".join(w)
+        if kind == 1:  # tables
+            text = " | ".join(w)
+        elif kind == 2:  # a sign on every second word
+            text = " ".join(x + "#" * (k % 2) for k, x in enumerate(w))
+        elif kind == 3:
+            text = " ".join(x + "***" for x in w)
+        elif kind == 4:  # keys and addresses run together
+            text = " ".join(a + b + c + d + e + f for a, b, c, d, e, f in zip(*[iter(w + w[::-1] + w[1::2] + w[::2] + w[1::3] + w[::3])] * 6))
+        elif kind in (5, 6, 7):  # a header that comes again as a footer, with up to two more lines
+            line = " ".join(word() for _ in range(7))
+            text = "\n".join([line, text, *["menu", "menu"][: kind - 4], line])
+        bad |= {i} if kind in (1, 2, 3, 4) else set()
+        # one large group, one of 40 documents and many of four
+        rows.append((i, text, "en", "large" if i >= 540 else "small" if i < 40 else f"s{i // 4}"))
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {i for i in got if not got[i]} == bad
+
+
+def test_quality_small_groups_lean_on_their_language(spark):
+    rng = random.Random(4)
+    vectors = [(f"=en\x00{'big' if i < 3000 else 'few'}", "=en", "all", *[rng.gauss(3.0 * (i >= 3000), 1.0) for _ in range(5)]) for i in range(3050)]
+    schema = "g1 string, g2 string, g3 string, " + ", ".join(f"x_{i} double" for i in range(5))
+    got = {r["g1"]: r for r in quality.models(spark.createDataFrame(vectors, schema), Scratch(spark, "quality-test"), 200).collect()}
+    # 50 documents of their own against 200 of the language's: about a fifth of the way
+    assert abs(got["=en\x00big"]["m_0"]) < 0.2 and 0.3 < got["=en\x00few"]["m_0"] < 1.0
+    assert all(r["scale"] >= 1 for r in got.values())
+
+
 # mixing
 
 
