@@ -87,6 +87,19 @@ def test_viterbi_restores_disguises(spark):
     assert {"loser", "idiot"} & own.text("you l o s e r there") and "clown" in own.text("c-l-0-w-n")
 
 
+def test_long_disguises_are_restored_whole(spark):
+    words = "worthlessness loser idiot moron stupid pathetic the and of with for from that this have you are all"
+    lm = toxicity.language_model(spark.createDataFrame([((words + " ") * 50,)], "text string"))
+    own = toxicity.Restorer(lm)
+    sentence = " ".join("youareallpatheticandstupid" * 5 + "idiot")
+    assert len(sentence) > 200 and {"pathetic", "stupid"} <= own.text("so " + sentence)
+    dotted = ".".join("worthlessness")
+    assert len(dotted) > 24 and "worthlessness" in own.words(dotted) and "worthlessness" in own.words("~".join("worthlessness"))
+    scorer = toxicity.Scorer(lm, {"pathetic": 5.0, "worthlessness": 4.0})
+    assert scorer.evidence(sentence) == 5.0 and scorer.evidence("~".join("worthlessness")) == 4.0
+    assert toxicity.viterbi("a" * 50_000, lm) in ("a", "aa") and len(toxicity.viterbi(" ".join("stupid" * 5000), lm, split=True).replace(" ", "")) == 30_000
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(0)
     vocabulary = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randrange(3, 9))) for _ in range(800)]
