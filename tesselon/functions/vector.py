@@ -47,6 +47,30 @@ def similarity(column: Column, vector, metric: str = "cosine") -> Column:
     return score(column)
 
 
+def reach(column: Column, approximate: Column, vector, metric: str = "cosine") -> Column:
+    """The greatest `similarity` that a vector can have by its approximation and its error, the distance between the two: never less than its own."""
+    q = check(vector, metric)
+
+    @F.pandas_udf("double")
+    def high(vectors: pd.Series, approximations: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype="float64")
+        m, a = (np.stack(x.to_numpy()).astype(np.float64) for x in (vectors, approximations))
+        with np.errstate(all="ignore"):
+            error = np.linalg.norm(m - a, axis=1)
+            if metric == "l2":
+                s = 1 / (1 + np.maximum(np.linalg.norm(a - q, axis=1) - error, 0) ** 2)
+            else:
+                s = a @ q + np.linalg.norm(q) * error
+                if metric == "cosine":
+                    s = s / (np.linalg.norm(m, axis=1) * np.linalg.norm(q))
+                s = (s + 1) / 2
+            s = s + 1e-9 * (1 + np.abs(s))  # for rounding
+        return pd.Series(np.where(np.isfinite(s), s, np.inf))
+
+    return high(column, approximate)
+
+
 def int8_codes(column: Column, low: float, scale: float) -> Column:
     """Bytes 0..255 of (v - low) / scale, all in the JVM."""
     return F.transform(column, lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.round((v - F.lit(low)) / F.lit(scale)))).cast("smallint"))

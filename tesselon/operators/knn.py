@@ -1,4 +1,4 @@
-"""Nearest neighbours by exact scan, filtered and hybrid search, and product quantisation."""
+"""Nearest neighbours by exact scan, filtered and hybrid search, and by codes with an exact second step."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesselon.functions.vector import int8_codes, int8_range, int8_values, similarity
+from tesselon.functions.vector import int8_codes, int8_range, int8_values, reach, similarity
 
 
 def knn(docs: DataFrame, name: str, vector: Sequence[float], k: int, metric: str = "cosine", where=None, doc_id: str = "doc_id") -> DataFrame:
@@ -21,11 +21,23 @@ def knn(docs: DataFrame, name: str, vector: Sequence[float], k: int, metric: str
 
 
 def knn_quantised(docs: DataFrame, name: str, vector: Sequence[float], k: int, metric: str = "l2", candidates: int | None = None, doc_id: str = "doc_id") -> DataFrame:
-    """Ranks one-byte codes first, then the best `candidates` by their full vectors."""
+    """Ranks one-byte codes first, then by full vectors all rows that can be among the k; see `rerank`."""
     low, scale = int8_range(docs, name)
     coded = docs.where(F.col(name).isNotNull()).withColumn("_approximate", int8_values(int8_codes(F.col(name), low, scale), low, scale))
-    rough = coded.withColumn("_rough", similarity(F.col("_approximate"), vector, metric)).orderBy(F.desc("_rough"), F.asc(doc_id)).limit(candidates or 4 * k)
-    return rough.drop("_approximate", "_rough").withColumn("score", similarity(F.col(name), vector, metric)).orderBy(F.desc("score"), F.asc(doc_id)).limit(k)
+    rough = coded.withColumn("_rough", similarity(F.col("_approximate"), vector, metric)).withColumn("_reach", reach(F.col(name), F.col("_approximate"), vector, metric))
+    return rerank(rough, name, vector, k, metric, candidates or 4 * k, doc_id).drop("_approximate")
+
+
+def rerank(rough: DataFrame, name: str, vector: Sequence[float], k: int, metric: str, candidates: int, doc_id: str = "doc_id") -> DataFrame:
+    """The exact k of rows with a score by code (_rough) and the greatest score they can have (_reach).
+
+    The k-th exact score of the best `candidates` by code is a score that the k-th of all rows can't be below; all rows
+    that can reach it are ranked by their full vectors.
+    """
+    first = rough.orderBy(F.desc("_rough"), F.asc(doc_id)).limit(max(candidates, k)).select(similarity(F.col(name), vector, metric).alias("score"))
+    found = [r["score"] for r in first.orderBy(F.desc("score")).limit(k).collect()]
+    rest = rough.where(F.col("_reach") >= found[-1]) if len(found) == k else rough
+    return rest.drop("_rough", "_reach").withColumn("score", similarity(F.col(name), vector, metric)).orderBy(F.desc("score"), F.asc(doc_id)).limit(k)
 
 
 def ranked(hits: DataFrame, doc_id: str = "doc_id") -> DataFrame:

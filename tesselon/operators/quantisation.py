@@ -12,7 +12,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.functions.vector import check, similarity
+from tesselon.functions.vector import check, reach, similarity
+from tesselon.operators.knn import rerank
 
 
 def parts_for(dims: int) -> int:
@@ -41,6 +42,17 @@ class Codebook:
 
         return codes(column)
 
+    def decode(self, codes: Column) -> Column:
+        """The vectors that codes stand for."""
+        book = self.centroids
+
+        @F.pandas_udf("array<double>")
+        def vectors(coded: pd.Series) -> pd.Series:
+            c = np.frombuffer(b"".join(coded), np.uint8).reshape(len(coded), len(book))
+            return pd.Series(list(book[np.arange(len(book)), c].reshape(len(coded), -1)))
+
+        return vectors(codes)
+
     def score(self, codes: Column, vector: Sequence[float], metric: str = "l2") -> Column:
         """Similarity of a query to coded vectors by one table of partial results a part."""
         q, book = check(vector, metric).reshape(len(self.centroids), -1), self.centroids
@@ -76,7 +88,7 @@ def train(docs: DataFrame, name: str, dims: int, parts: int | None = None, centr
 
 
 def knn_coded(docs: DataFrame, name: str, book: Codebook, vector: Sequence[float], k: int, metric: str = "l2", candidates: int | None = None, doc_id: str = "doc_id") -> DataFrame:
-    """Ranks by codes, then the best `candidates` by their full vectors."""
+    """Ranks by codes, then by full vectors all rows that can be among the k; see `rerank`."""
     rough = docs.where(F.col(name).isNotNull()).withColumn("_codes", book.encode(F.col(name)))
-    rough = rough.withColumn("_rough", book.score(F.col("_codes"), vector, metric)).orderBy(F.desc("_rough"), F.asc(doc_id)).limit(candidates or 8 * k)
-    return rough.drop("_codes", "_rough").withColumn("score", similarity(F.col(name), vector, metric)).orderBy(F.desc("score"), F.asc(doc_id)).limit(k)
+    rough = rough.withColumn("_rough", book.score(F.col("_codes"), vector, metric)).withColumn("_reach", reach(F.col(name), book.decode(F.col("_codes")), vector, metric))
+    return rerank(rough, name, vector, k, metric, candidates or 8 * k, doc_id).drop("_codes")

@@ -291,3 +291,18 @@ def test_dates_are_typed(spark):
     docs = spark.createDataFrame([(1, "a", datetime.datetime(2020, 1, 1)), (2, "b", datetime.datetime(2021, 1, 1))], "doc_id long, _id string, at timestamp")
     corpus = Corpus(docs, Schema((Field("at", "date"),)))
     assert ids(scored(corpus, Range("at", datetime.datetime(2020, 6, 1)))) == ["b"]
+
+
+def test_quantised_neighbours_are_exact(spark):
+    import numpy as np
+
+    m = np.random.default_rng(5).normal(size=(3000, 16))
+    docs = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)] + [(3000, None), (3001, [0.0] * 16)], "doc_id long, v array<float>")
+    book = quantisation.train(docs, "v", 16, parts=2, centroids=8, iterations=2)
+    for metric in ("l2", "cosine", "dot_product"):
+        for q in (m[7], m[8] + 0.5):
+            want = knn.knn(docs, "v", q, 10, metric).collect()
+            for got in (quantisation.knn_coded(docs, "v", book, q, 10, metric, candidates=10).collect(), knn.knn_quantised(docs, "v", q, 10, metric, candidates=10).collect()):
+                assert [r["doc_id"] for r in got] == [r["doc_id"] for r in want]
+                assert [r["score"] for r in got] == pytest.approx([r["score"] for r in want], rel=1e-12)
+    assert quantisation.knn_coded(docs.where("doc_id < 4"), "v", book, m[7], 10).count() == 4
