@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,6 +70,10 @@ def keyword_tokens(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
 
 
+#: Tokenizers whose pieces overlap.
+OVERLAPPING: set = set()
+
+
 def ngram_tokens(least: int, most: int) -> Step:
     """From each start the shortest first; nothing for texts that are too short."""
 
@@ -78,6 +82,7 @@ def ngram_tokens(least: int, most: int) -> Step:
         starts = F.when(n >= least, F.sequence(F.lit(1), n - least + 1)).otherwise(F.array().cast("array<int>"))
         return F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(least), F.least(F.lit(most), n - s + 1)), lambda k: F.substring(text, s, k))))
 
+    OVERLAPPING.add(grams)
     return grams
 
 
@@ -87,14 +92,25 @@ def edge_ngram_tokens(least: int, most: int) -> Step:
         sizes = F.when(n >= least, F.sequence(F.lit(least), F.least(F.lit(most), n))).otherwise(F.array().cast("array<int>"))
         return F.transform(sizes, lambda k: F.left(text, k))
 
+    OVERLAPPING.add(grams)
     return grams
 
 
 # token filters: array<struct<term, pos>> to the same
 
 
+@dataclass(frozen=True)
+class TermFilter:
+    """A filter that changes each term by itself, so that several need one pass."""
+
+    change: Step
+
+    def __call__(self, toks: Column) -> Column:
+        return F.transform(toks, lambda t: F.struct(self.change(t["term"]).alias("term"), t["pos"].alias("pos")))
+
+
 def _terms(change: Step) -> Step:
-    return lambda toks: F.transform(toks, lambda t: F.struct(change(t["term"]).alias("term"), t["pos"].alias("pos")))
+    return TermFilter(change)
 
 
 lowercase = _terms(F.lower)
@@ -110,9 +126,11 @@ def length(least: int, most: int) -> Step:
 
 
 def unique(toks: Column) -> Column:
-    """The first of equal terms stays where it is."""
-    terms = F.transform(toks, lambda t: t["term"])
-    return F.filter(toks, lambda t, i: F.array_position(terms, t["term"]) == i + 1)
+    """The first of equal terms stays where it is: in order of (term, place in the list) each term's first begins a run."""
+    placed = F.array_sort(F.transform(toks, lambda t, i: F.struct(t["term"].alias("term"), i.alias("i"), t["pos"].alias("pos"))))
+    # an array of one, so that the sorted list is made once
+    firsts = F.element_at(F.transform(F.array(placed), lambda s: F.filter(s, lambda t, i: (i == 0) | (t["term"] != F.get(s, i - 1)["term"]))), 1)
+    return F.transform(F.array_sort(F.transform(firsts, lambda t: F.struct(t["i"], t["term"], t["pos"]))), lambda t: F.struct(t["term"].alias("term"), t["pos"].alias("pos")))
 
 
 def _folded(term: Column) -> Column:
@@ -169,8 +187,37 @@ def porter2(toks: Column) -> Column:
     return F.zip_with(toks, stems, lambda t, s: F.struct(s.alias("term"), t["pos"].alias("pos")))
 
 
+def located(text: str, pieces: Sequence[str], overlapping: bool) -> list[tuple[int, int]]:
+    """Starts and ends of a tokenizer's pieces: each behind the last, or of n-grams, which go from each start the shortest first, one further whenever they don't grow."""
+    out, at, last = [], 0, 1 << 62
+    for p in pieces:
+        if overlapping:
+            at += bool(out) and len(p) <= last
+            last = len(p)
+            out.append((at, at + last))
+        else:
+            start = text.find(p, at)
+            at = start + len(p)
+            out.append((start, at))
+    return out
+
+
+_SPAN = T.StructType([T.StructField(n, T.StringType() if n == "term" else T.IntegerType()) for n in ("term", "pos", "start", "end")])
+
+
+@F.pandas_udf(T.ArrayType(_SPAN))
+def _spans(texts: pd.Series, pieces: pd.Series, overlapping: pd.Series, terms: pd.Series, places: pd.Series) -> pd.Series:
+    out = []
+    for text, raw, o, term, pos in zip(texts, pieces, overlapping, terms, places):
+        at = located(text, list(raw), o)
+        out.append([{"term": t, "pos": int(p), "start": at[p][0], "end": at[p][1]} for t, p in zip(term, pos)])
+    return pd.Series(out)
+
+
 @dataclass(frozen=True)
 class Analyzer:
+    """Called on a text it gives its tokens. `spans` gives where they lie, too."""
+
     tokenizer: Step
     filters: tuple[Step, ...] = ()
     char_filters: tuple[Step, ...] = ()
@@ -178,17 +225,45 @@ class Analyzer:
     in_python: bool = field(default=False)
 
     def __call__(self, text: Column) -> Column:
+        text = self.cleaned(text)
+        n = next((i for i, f in enumerate(self.filters) if not isinstance(f, TermFilter)), len(self.filters))
+
+        def first(term: Column) -> Column:
+            for f in self.filters[:n]:
+                term = f.change(term)
+            return term
+
+        toks = F.transform(self.tokenizer(text), lambda t, i: F.struct(first(t).alias("term"), i.cast("int").alias("pos")))
+        for f in self.filters[n:]:
+            toks = f(toks)
+        return toks
+
+    def cleaned(self, text: Column) -> Column:
+        """The text behind the char filters, in which `spans` counts."""
         text = F.coalesce(text, F.lit(""))
         for f in self.char_filters:
             text = f(text)
-        toks = F.transform(self.tokenizer(text), lambda t, i: F.struct(t.alias("term"), i.cast("int").alias("pos")))
-        for f in self.filters:
-            toks = f(toks)
-        return toks
+        return text
+
+    def spans(self, text: Column) -> Column:
+        """array<struct<term, pos, start, end>>: the tokens with their places in the cleaned text, in code points from 0.
+
+        A token's pos is its number among the tokenizer's pieces, whatever filters follow.
+        """
+        clean, toks = self.cleaned(text), self(text)
+        return _spans(clean, self.tokenizer(clean), F.lit(self.tokenizer in OVERLAPPING), F.transform(toks, lambda t: t["term"]), F.transform(toks, lambda t: t["pos"]))
 
     def terms(self, spark, text: str) -> list[str]:
         """The terms of one query text, in order."""
-        return [t["term"] for t in spark.range(1).select(self(F.lit(text)).alias("t")).first()["t"]]
+        # a table of constants is evaluated where the plan is made, without a job
+        row = spark.sql("SELECT * FROM VALUES (:text) AS v(text)", args={"text": text})
+        return [t["term"] for t in row.select(self(F.col("text")).alias("t")).collect()[0]["t"]]
+
+
+def analyze(spark, analyzer: Analyzer, text: str) -> DataFrame:
+    """(term, pos, start, end) of one text."""
+    row = spark.sql("SELECT * FROM VALUES (:text) AS v(text)", args={"text": text})
+    return row.select(F.inline(analyzer.spans(F.col("text"))))
 
 
 ANALYZERS = {

@@ -50,7 +50,7 @@ def modifier(name: str, v: Column) -> Column:
 
 def decay(kind: str, v: Column, origin: float, scale: float, offset: float = 0.0, decay: float = 0.5) -> Column:
     """1 at the origin, `decay` at scale beyond the offset."""
-    decay = decay if 0 < decay < 1 else 0.5
+    decay, scale = decay if 0 < decay < 1 else 0.5, float(scale or 1.0)
     far = F.greatest(F.abs(v - F.lit(float(origin))) - F.lit(float(offset)), F.lit(0.0))
     if kind == "gauss":
         return F.exp(-(far * far) / F.lit(2 * (-(scale**2) / (2 * math.log(decay)))))
@@ -80,7 +80,6 @@ def random_score(seed: int):
     @F.pandas_udf("double")
     def score(ids: pd.Series) -> pd.Series:
         x = np.uint64(seed % (1 << 64)) ^ ids.to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        x = x + np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x = x ^ (x >> np.uint64(31))

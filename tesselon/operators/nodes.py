@@ -1,8 +1,9 @@
-"""Search conditions as a tree of small values. Each gives a row condition and a score, both Spark columns.
+"""Conditions as a tree of small values. Each gives a row condition and a score, both Spark columns.
 
 A node is asked for `needs()`, the statistics of the whole corpus that its score uses, and for `build(ctx)`, which
-returns (condition, score). All statistics of a tree come from one aggregate, and the tree becomes one projection and
-one filter, which Catalyst prunes and pushes; there is no join per clause.
+returns (condition, score). What a node wants of a text (a term's frequency or places, whether some term meets a
+condition) it asks of the context, which gathers these facts once a document, from the text or from an inverted index. So
+the tree becomes one projection and one filter; there is no join per clause.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from tesselon.functions import scoring
 
 if TYPE_CHECKING:
-    from tesselon.operators.search import Context
+    from tesselon.operators.retrieval import Context
 
 Built = tuple[Column, Column]
 ZERO = 0.0
@@ -47,6 +48,10 @@ class Node:
         """(field, term) pairs to highlight."""
         return self.needs(ctx)
 
+    def anchored(self, ctx: Context) -> bool:
+        """Whether every match has one of the terms that the node asks for, so that documents without any needn't be read."""
+        return False
+
     def rewrite(self) -> Node:
         return self
 
@@ -62,6 +67,9 @@ class MatchAll(Node):
 
 @dataclass(frozen=True)
 class MatchNone(Node):
+    def anchored(self, ctx):
+        return True
+
     def build(self, ctx):
         return F.lit(False), F.lit(ZERO)
 
@@ -76,6 +84,9 @@ class Term(Node):
     def needs(self, ctx):
         return [(self.field, self.term)] if ctx.scored(self.field) else []
 
+    def anchored(self, ctx):
+        return ctx.is_text(self.field)
+
     def build(self, ctx):
         if not ctx.scored(self.field):
             return self._constant(ctx.any_value(self.field, lambda v: v == F.lit(self.term)))
@@ -117,9 +128,14 @@ class Match(Node):
         return ctx.analyse(self.field, self.text)
 
     def needs(self, ctx):
-        return [(self.field, t) for t in dict.fromkeys(self._terms(ctx))]
+        return [(self.field, t) for t in dict.fromkeys(self._terms(ctx))] if ctx.scored(self.field) else []
+
+    def anchored(self, ctx):
+        return ctx.is_text(self.field)
 
     def build(self, ctx):
+        if not ctx.scored(self.field):
+            return Term(self.field, self.text, boost=self.boost).build(ctx)
         terms = self._terms(ctx)
         if not terms:
             return MatchNone().build(ctx)
@@ -127,36 +143,56 @@ class Match(Node):
         return (_all(has) if self.operator == "must" else _any(has)), _sum_terms(ctx, self.field, terms, self.weight)
 
 
-def ordered_within(places: Sequence[Column], slop: int) -> Column:
-    """Whether from some first place the nearest later ones, each after the one before, leave at most slop places between."""
+def _events(places: Sequence[Column]) -> Column:
+    """(place, list number) of all lists in order of place; at one place later lists come first, so that no place follows itself."""
+    n = len(places)
+    each = [F.transform(p, _marked(n - 1 - i)) for i, p in enumerate(places)]
+    return F.array_sort(F.concat(*each))
 
-    def after(first: Column) -> Column:
-        at = first
-        for p in places[1:]:
-            at = F.array_min(F.filter(p, _later(at)))
-        return at - first - (len(places) - 1) <= slop
 
-    return F.coalesce(F.exists(places[0], lambda q: F.coalesce(after(q), F.lit(False))), F.lit(False))
+def _marked(back: int) -> Callable[[Column], Column]:
+    return lambda x: F.struct(x.alias("at"), F.lit(back).alias("back"))
 
 
-def _later(at: Column) -> Callable[[Column], Column]:
-    return lambda x: x > at
+def ordered_within(places: Sequence[Column], slop: int) -> Column:
+    """Whether places q0 < q1 < ... of the lists, one of each in turn, leave at most slop places between.
 
+    One merge in order of place: of the chains through the first lists that end by now, only the latest start counts.
+    """
+    n = len(places)
+    if slop == 0:  # a start that every list has at its own distance
+        starts = places[0]
+        for i, p in enumerate(places[1:], 1):
+            starts = F.array_intersect(starts, F.transform(p, _shifted(i)))
+        return F.coalesce(F.size(starts) > 0, F.lit(False))
+    start = F.struct(F.array_repeat(F.lit(None).cast("int"), n - 1).alias("from"), F.lit(False).alias("met"))
 
-def unordered_within(places: Sequence[Column], slop: int) -> Column:
-    """Whether some window holds a place of each list with at most slop places to spare."""
-    every = F.concat(*places)
+    def step(state: Column, e: Column) -> Column:
+        i = F.lit(n - 1) - e["back"]
+        begun = F.when(i == 0, e["at"]).otherwise(F.get(state["from"], i - 1))
+        kept = F.transform(state["from"], lambda old, k: F.when(k == i, begun).otherwise(old))
+        last = (i == n - 1) & F.coalesce(e["at"] - begun - (n - 1) <= slop, F.lit(False))
+        return F.struct(kept.alias("from"), (state["met"] | last).alias("met"))
 
-    def window(m: Column) -> Column:
-        ends = [F.array_min(F.filter(p, _not_before(m))) for p in places]
-        whole = _all([e.isNotNull() for e in ends])
-        return whole & (F.greatest(*ends) - m - (len(places) - 1) <= slop)
+    return F.coalesce(F.aggregate(_events(places), start, step)["met"], F.lit(False))
 
-    return F.coalesce(F.exists(every, window), F.lit(False))
 
+def _shifted(i: int) -> Callable[[Column], Column]:
+    return lambda x: x - i
+
+
+def unordered_within(places: Sequence[Column], slop: int) -> Column:
+    """Whether some window holds a place of each list with at most slop places to spare: at each place, the latest of every list so far."""
+    n = len(places)
+    start = F.struct(F.array_repeat(F.lit(None).cast("int"), n).alias("last"), F.lit(False).alias("met"))
 
-def _not_before(m: Column) -> Callable[[Column], Column]:
-    return lambda x: x >= m
+    def step(state: Column, e: Column) -> Column:
+        i = F.lit(n - 1) - e["back"]
+        last = F.transform(state["last"], lambda old, k: F.when(k == i, e["at"]).otherwise(old))
+        whole = F.forall(last, lambda x: x.isNotNull()) & (e["at"] - F.array_min(last) - (n - 1) <= slop)
+        return F.struct(last.alias("last"), (state["met"] | F.coalesce(whole, F.lit(False))).alias("met"))
+
+    return F.coalesce(F.aggregate(_events(places), start, step)["met"], F.lit(False))
 
 
 @dataclass(frozen=True)
@@ -173,6 +209,9 @@ class Phrase(Node):
     def needs(self, ctx):
         return [(self.field, t) for t in dict.fromkeys(self._terms(ctx))]
 
+    def anchored(self, ctx):
+        return ctx.is_text(self.field)
+
     def build(self, ctx):
         terms = self._terms(ctx)
         if not terms:
@@ -196,6 +235,9 @@ class SpanNear(Node):
     def needs(self, ctx):
         return [(self.field, t) for t in dict.fromkeys(self.span)]
 
+    def anchored(self, ctx):
+        return ctx.is_text(self.field)
+
     def build(self, ctx):
         if not self.span:
             return MatchNone().build(ctx)
@@ -212,6 +254,9 @@ class Prefix(Node):
     field: str
     prefix: str
 
+    def anchored(self, ctx):
+        return ctx.is_text(self.field)
+
     def build(self, ctx):
         return self._constant(ctx.any_value(self.field, lambda v: v.startswith(self.prefix)))
 
@@ -226,6 +271,9 @@ class Range(Node):
     include_low: bool = True
     include_high: bool = True
 
+    def anchored(self, ctx):
+        return ctx.is_text(self.field)
+
     def build(self, ctx):
         def within(v: Column) -> Column:
             conditions = []
@@ -246,6 +294,9 @@ class Fuzzy(Node):
     term: str
     max_edits: int | None = None
 
+    def anchored(self, ctx):
+        return ctx.is_text(self.field)
+
     def build(self, ctx):
         n = len(self.term)
         k = self.max_edits if self.max_edits is not None else 0 if n <= 2 else 1 if n <= 4 else 2
@@ -264,6 +315,9 @@ class Wildcard(Node):
     field: str
     pattern: str
 
+    def anchored(self, ctx):
+        return ctx.is_text(self.field)
+
     def build(self, ctx):
         start = _literal_prefix(self.pattern, "*?")
         if self.pattern == start + "*":
@@ -279,6 +333,9 @@ class Regexp(Node):
     field: str
     pattern: str
 
+    def anchored(self, ctx):
+        return ctx.is_text(self.field)
+
     def build(self, ctx):
         start = _literal_prefix(self.pattern, r".^$*+?{}[]\|()") if "|" not in self.pattern else ""
         if start and self.pattern[len(start) : len(start) + 1] in ("*", "?", "{"):
@@ -294,7 +351,8 @@ class GeoDistance(Node):
     metres: float
 
     def build(self, ctx):
-        lat, lon = F.col(self.field)["lat"], F.col(self.field)["lon"]
+        place = ctx.column(self.field)
+        lat, lon = place["lat"], place["lon"]
         return self._constant(scoring.within_box(lat, self.lat, self.metres) & (scoring.haversine(lat, lon, self.lat, self.lon) <= self.metres))
 
 
@@ -328,6 +386,12 @@ class Bool(Node):
             return replace(only, boost=only.weight * self.weight)
         return replace(self, **parts)
 
+    def anchored(self, ctx):
+        if any(c.anchored(ctx) for c in (*self.must, *self.filter)):
+            return True
+        wants = self.minimum_should_match is None or self.minimum_should_match > 0
+        return not (self.must or self.filter) and wants and all(c.anchored(ctx) for c in self.should)
+
     def build(self, ctx):
         if not (self.must or self.should or self.filter):
             return MatchNone().build(ctx)
@@ -374,12 +438,12 @@ class Function:
         if self.kind == "weight":
             out = F.lit(1.0)
         elif self.kind == "field_value_factor":
-            v = F.coalesce(F.col(self.field).cast("double"), F.lit(float(self.missing)))
+            v = F.coalesce(ctx.column(self.field).cast("double"), F.lit(float(self.missing)))
             out = F.coalesce(scoring.modifier(self.modifier, v * F.lit(float(self.factor or 1.0))), F.lit(ZERO))
         elif self.kind == "random":
             out = scoring.random_score(self.seed)(F.col(ctx.doc_id))
         else:
-            out = F.coalesce(scoring.decay(self.kind, F.col(self.field).cast("double"), self.origin, self.scale, self.offset, self.decay), F.lit(ZERO))
+            out = F.coalesce(scoring.decay(self.kind, ctx.column(self.field).cast("double"), self.origin, self.scale, self.offset, self.decay), F.lit(ZERO))
         return out * F.lit(float(self.weight or 1.0))
 
 
@@ -427,6 +491,9 @@ class FunctionScore(Node):
             raise QueryError(f"unknown score mode {self.score_mode!r}")
         return F.when(F.size(found) == 0, neutral).otherwise(folds[self.score_mode]())
 
+    def anchored(self, ctx):
+        return self.query.anchored(ctx)
+
     def build(self, ctx):
         p, s = self.query.build(ctx)
         own = self._folded(ctx)
@@ -446,6 +513,9 @@ class BM25F(Node):
     def needs(self, ctx):
         return [(f, t) for t in self.span for f, _, _ in self.fields]
 
+    def anchored(self, ctx):
+        return all(ctx.is_text(f) for f, _, _ in self.fields)
+
     def build(self, ctx):
         conditions, score = [], F.lit(ZERO)
         for t in dict.fromkeys(self.span):
@@ -455,7 +525,7 @@ class BM25F(Node):
                 tf = ctx.tf(f, t)
                 conditions.append(tf > 0)
                 ratio = F.when(ctx.average(f) > 0, scoring.quantised(ctx.length(f)) / ctx.average(f)).otherwise(F.lit(1.0))
-                pseudo = pseudo + F.lit(float(boost)) * tf / (F.lit(1 - b) + F.lit(float(b)) * ratio)
+                pseudo = pseudo + F.lit(float(boost or 1.0)) * tf / (F.lit(1 - b) + F.lit(float(b)) * ratio)
             most = F.greatest(*[ctx.df(f, t) for f, _, _ in self.fields], F.lit(0))
             score = score + F.lit(float(self.span.count(t))) * scoring.idf(ctx.n_docs, most) * pseudo / (pseudo + scoring.K1)
         return _any(conditions), score * F.lit(float(self.weight))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesselon.functions.scoring import haversine
+from tesselon.operators.nodes import Node
+from tesselon.operators.retrieval import Context, Corpus
 
 
 @dataclass(frozen=True)
@@ -85,10 +87,6 @@ def _negatable(df: DataFrame, k: SortKey) -> bool:
     return isinstance(df.schema[k.field].dataType, T.NumericType)
 
 
-def _spans(text: str, terms: frozenset[str], analyse) -> list[tuple[int, int]]:
-    return [(a, b) for a, b, t in analyse(text) if t in terms]
-
-
 def fragments(text: str, spans: list[tuple[int, int]], pre: str = "<em>", post: str = "</em>", size: int = 0, count: int = 5, by_score: bool = False) -> list[str]:
     """Marked pieces of a text: the whole of it with size 0, else windows around matches, cut at white space."""
 
@@ -122,23 +120,21 @@ def fragments(text: str, spans: list[tuple[int, int]], pre: str = "<em>", post:
     return [marked(lo, hi) for _, lo, hi in windows[:count]]
 
 
-def highlight(hits: DataFrame, name: str, terms: Sequence[str], pre: str = "<em>", post: str = "</em>", fragment_size: int = 0, number_of_fragments: int = 5, order: str = "none", stemmed: bool = False) -> DataFrame:
-    """Adds `highlights` (array of strings) to hits, which have been cut to a page already."""
-    import re
-
-    from tesselon.functions.porter2 import stem
+def highlight(corpus: Corpus, hits: DataFrame, name: str, node: Node, pre: str = "<em>", post: str = "</em>", fragment_size: int = 0, number_of_fragments: int = 5, order: str = "none") -> DataFrame:
+    """Adds `highlights` (array of strings) to hits, which have been cut to a page already: the places of a condition's terms in a text field.
 
-    wanted = frozenset(terms)
-    # the standard tokenizer for Python's re: \p{L} and \p{Nd} as what \w holds besides the underscore
-    token = re.compile(r"\d+(?:['’.,-]\d+)*(?:[^\W\d_][^\W_]*(?:['’][^\W_]+)*)?|[^\W\d_][^\W_]*(?:['’][^\W_]+)*")
-
-    def analyse(text: str):
-        for m in token.finditer(text):
-            t = m[0].lower()
-            yield m.start(), m.end(), stem(re.sub("['’]s$", "", t)) if stemmed else t
+    The field's own analyzer says what a term is and where it lies; with char filters, the text behind them is what is marked.
+    """
+    ctx, analyzer = Context(corpus), corpus.analyzer(name)
+    wanted = list(dict.fromkeys(t for n, t in node.rewrite().terms(ctx) if n == name))
 
     @F.pandas_udf("array<string>")
-    def mark(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else fragments(t, _spans(t, wanted, analyse), pre, post, fragment_size, number_of_fragments, order == "score"))
-
-    return hits.withColumn("highlights", mark(F.col(name)))
+    def mark(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for t, found in zip(texts, spans):
+            at = sorted({(s["start"], s["end"]) for s in found})
+            out.append(fragments(t, at, pre, post, fragment_size, number_of_fragments, order == "score"))
+        return pd.Series(out)
+
+    asked = F.filter(analyzer.spans(F.col(name)), lambda s: s["term"].isin(wanted)) if wanted else F.array().cast("array<struct<term:string,pos:int,start:int,end:int>>")
+    return hits.withColumn("highlights", mark(analyzer.cleaned(F.col(name)), asked))

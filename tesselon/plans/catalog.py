@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselon.functions import analysis
-from tesselon.operators import facets, knn, nodes, quantisation, ranking
+from tesselon.operators import facets, knn, quantisation, ranking
 from tesselon.operators.nodes import BM25F, Bool, Function, FunctionScore, Fuzzy, GeoDistance, Match, MatchAll, MatchNone, Phrase, Prefix, Range, Regexp, SpanNear, Term, Wildcard
-from tesselon.operators.search import Context, Corpus, match_postings, postings, rescored, scored, search, top
+from tesselon.operators.retrieval import Context, Corpus, best, find, matched, rescored
+from tesselon.plans.conditions import from_json, from_text
 from tesselon.plans.schema import Field, Schema
 from tesselon.sources import index
+from tesselon.sources.scratch import Scratch
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -38,12 +40,30 @@ LINES = Schema((Field("l_quantity", "double"), Field("l_linenumber", "long"), Fi
 CUSTOMERS = Schema((Field("place", "geo_point"), Field("c_mktsegment", "keyword")))
 
 
-def documents(spark: SparkSession, sf_dir: str) -> Corpus:
+def scanned_documents(spark: SparkSession, sf_dir: str) -> Corpus:
     return Corpus(table(spark, sf_dir, "documents"), DOCUMENTS)
 
 
+_indexes: dict[tuple[str, str, str], str] = {}
+
+
+def _indexed(corpus: Corpus, sf_dir: str, name: str) -> Corpus:
+    """The corpus with its inverted index, which a session builds once a table, in the shared folder."""
+    spark = corpus.docs.sparkSession
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _indexes:
+        path = Scratch(spark, f"index-{name}").root
+        index.invert(corpus, path)
+        _indexes[key] = path
+    return index.inverted(corpus, _indexes[key])
+
+
+def documents(spark: SparkSession, sf_dir: str) -> Corpus:
+    return _indexed(scanned_documents(spark, sf_dir), sf_dir, "documents")
+
+
 def parts(spark: SparkSession, sf_dir: str) -> Corpus:
-    return Corpus(table(spark, sf_dir, "part").withColumn("doc_id", F.col("p_partkey")), PARTS)
+    return _indexed(Corpus(table(spark, sf_dir, "part").withColumn("doc_id", F.col("p_partkey")), PARTS), sf_dir, "part")
 
 
 def customers(spark: SparkSession, sf_dir: str) -> Corpus:
@@ -101,7 +121,7 @@ def _rank(found: DataFrame) -> DataFrame:
 
 def condition(name: str, make, node, where: str, score: str, corpus: str | None = None) -> None:
     """Registers all matches of a node with their scores."""
-    query(name, _select(where, score, corpus))(lambda spark, sf_dir: hits(scored(make(spark, sf_dir), node)))
+    query(name, _select(where, score, corpus))(lambda spark, sf_dir: hits(matched(make(spark, sf_dir), node)))
 
 
 _PARTS_NAME = _corpus_sql("part", "p_partkey", "p_name", ", p_brand, p_size, p_retailprice, p_type")
@@ -172,20 +192,35 @@ condition(
 
 @query("match_top10", _ranked(f"{_has('the')} OR {_has('de')} OR {_has('und')}", f"{_bm25_sql('the')} + {_bm25_sql('de')} + {_bm25_sql('und')}", 10))
 def match_top10(spark, sf_dir):
-    return _rank(search(documents(spark, sf_dir), Match("text", "the de und"), 10))
+    return _rank(best(documents(spark, sf_dir), Match("text", "the de und"), 10))
 
 
 @query("page_from_size", _ranked(_has("the"), _bm25_sql("the"), 10, offset=20))
 def page_from_size(spark, sf_dir):
-    return _rank(search(documents(spark, sf_dir), Term("text", "the"), 10, offset=20))
+    return _rank(best(documents(spark, sf_dir), Term("text", "the"), 10, offset=20))
 
 
-@query("match_postings_or", _select(f"{_has('de')} OR {_has('en')}", f"{_bm25_sql('de')} + {_bm25_sql('en')}"))
-def match_postings_or(spark, sf_dir):
-    corpus = documents(spark, sf_dir)
-    size = F.size("_tok_text")
-    stats = corpus.docs.agg(F.count("*").alias("n_docs"), (F.sum(size) / F.count_if(size > 0)).alias("average"))
-    return hits(match_postings(postings(corpus, "text"), stats, ["de", "en"]))
+# the same without an index: each text is analysed where it is read
+
+condition("scan_match_or", scanned_documents, Match("text", "de en"), f"{_has('de')} OR {_has('en')}", f"{_bm25_sql('de')} + {_bm25_sql('en')}")
+condition("scan_phrase_slop", scanned_documents, Phrase("text", "of the", slop=4), _next([_at("of"), _at("the")], 4), f"{_bm25_sql('of')} + {_bm25_sql('the')}")
+condition("scan_prefix", scanned_documents, Prefix("text", "erth", boost=2.0), "len(list_filter(t, lambda x: starts_with(x, 'erth'))) > 0", "2.0")
+condition(
+    "scan_bool", scanned_documents,
+    Bool(must=(Term("text", "the"),), filter=(Range("n_chars", 1000, None),), must_not=(Term("text", "with"),)),
+    f"{_has('the')} AND n_chars >= 1000 AND NOT {_has('with')}", _bm25_sql("the"), _DOCS,
+)
+
+# conditions from a line of text and from JSON
+
+condition("text_form", documents, from_text('the -with lang:en n_chars:[500 TO 5000}', "text"), f"({_has('the')} OR lang = 'en' OR n_chars >= 500 AND n_chars < 5000) AND NOT {_has('with')}", f"{_bm25_sql('the')} + (CASE WHEN lang = 'en' THEN ln(1 + (n - (SELECT count(*) FROM d WHERE lang = 'en') + 0.5) / ((SELECT count(*) FROM d WHERE lang = 'en') + 0.5)) / (1 + 1.2 * 0.25 + 1.2 * 0.75) ELSE 0 END) + (n_chars >= 500 AND n_chars < 5000)::INT", _DOCS)
+condition("text_form_and", documents, from_text('de AND "of the" OR erth*', "text"), _next([_at("of"), _at("the")], 0), f"{_bm25_sql('de')} + {_bm25_sql('of')} + {_bm25_sql('the')} + (len(list_filter(t, lambda x: starts_with(x, 'erth'))) > 0)::INT")
+condition(
+    "json_form", documents,
+    from_json('{"bool": {"must": [{"match": {"field": "text", "query": "the and of", "operator": "and"}}], "filter": [{"range": {"field": "n_chars", "gte": 500, "lt": 9000}}], "must_not": [{"term": {"field": "lang", "value": "fr"}}], "should": [{"fuzzy": {"field": "lang", "value": "em", "max_edits": 1}, "boost": 3}]}}'),
+    f"{_has('the')} AND {_has('and')} AND {_has('of')} AND n_chars >= 500 AND n_chars < 9000 AND NOT (lang = 'fr')",
+    f"{_bm25_sql('the')} + {_bm25_sql('and')} + {_bm25_sql('of')} + CASE WHEN levenshtein(lang, 'em') <= 1 THEN 3.0 ELSE 0.0 END", _DOCS,
+)
 
 
 @query("rescore_phrase", f"""WITH {_corpus_sql()}, b AS (SELECT doc_id, {_bm25_sql('the')} + {_bm25_sql('of')} AS base, CASE WHEN {_next([_at('of'), _at('the')], 0)} THEN {_bm25_sql('of')} + {_bm25_sql('the')} ELSE 0 END AS again
@@ -202,12 +237,12 @@ s AS (SELECT count(*) AS n, sum(len(a)) / count(*) FILTER (WHERE len(a) > 0)::DO
 p AS (SELECT doc_id, n, df, 2.0 * len(list_filter(a, lambda x: x = 'steel')) / (0.25 + 0.75 * ((len(a) >> ea) << ea) / avga) + 1.0 * len(list_filter(b, lambda x: x = 'steel')) / 1.0 AS pt FROM d1, s)
 SELECT doc_id, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * pt / (pt + 1.2), 6) AS score FROM p WHERE pt > 0""")
 def bm25f_two_fields(spark, sf_dir):
-    return hits(scored(parts(spark, sf_dir), BM25F(("steel",), (("p_name", 2.0, None), ("p_type", 1.0, 0.0)))))
+    return hits(matched(parts(spark, sf_dir), BM25F(("steel",), (("p_name", 2.0, None), ("p_type", 1.0, 0.0)))))
 
 
 def function_score(name: str, functions: tuple[Function, ...], sql: str, where: str = "true", **options) -> None:
     node = FunctionScore(Term("text", "the"), functions, **options)
-    query(name, _select(f"{_has('the')} AND ({where})", sql.replace("BASE", _bm25_sql("the")), _DOCS))(lambda spark, sf_dir: hits(scored(documents(spark, sf_dir), node)))
+    query(name, _select(f"{_has('the')} AND ({where})", sql.replace("BASE", _bm25_sql("the")), _DOCS))(lambda spark, sf_dir: hits(matched(documents(spark, sf_dir), node)))
 
 
 for _mod, _sql in (("none", "V"), ("log", "log10(V)"), ("log1p", "log10(V + 1)"), ("log2p", "log10(V + 2)"), ("ln", "ln(V)"), ("ln1p", "ln(V + 1)"), ("ln2p", "ln(V + 2)"), ("square", "V * V"), ("sqrt", "sqrt(V)"), ("reciprocal", "1.0 / V")):
@@ -226,9 +261,14 @@ function_score("function_score_max_boost", (_F2,), f"BASE * least({_S2}, 3.0)",
 function_score("function_score_min_score", (_F2,), f"BASE * {_S2}", where=f"{_bm25_sql('the')} * {_S2} >= 1.0", min_score=1.0)
 
 
-@query("function_score_random")
+_BITS = "18446744073709551616::UHUGEINT"  # 2^64: products of 64-bit numbers fit into 128 bits
+
+
+@query("function_score_random", f"""WITH a AS (SELECT doc_id, xor(42::UHUGEINT, (doc_id::UHUGEINT * 11400714819323198485::UHUGEINT) % {_BITS}) AS x FROM documents),
+b AS (SELECT doc_id, (xor(x, x >> 30) * 13787848793156543929::UHUGEINT) % {_BITS} AS x FROM a), c AS (SELECT doc_id, (xor(x, x >> 27) * 10723151780598845931::UHUGEINT) % {_BITS} AS x FROM b)
+SELECT doc_id, round((xor(x, x >> 31) >> 11)::DOUBLE / 9007199254740992.0::DOUBLE, 6) AS score FROM c""")
 def function_score_random(spark, sf_dir):
-    return hits(scored(documents(spark, sf_dir), FunctionScore(MatchAll(), (Function("random", seed=42),))))
+    return hits(matched(documents(spark, sf_dir), FunctionScore(MatchAll(), (Function("random", seed=42),))))
 
 
 _HAVERSINE = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - 10.5) / 2), 2) + cos(radians(10.5)) * cos(radians(lat)) * pow(sin(radians(lon - 20.25) / 2), 2))))"
@@ -237,7 +277,7 @@ _PLACES = "SELECT c_custkey AS doc_id, c_mktsegment, (c_custkey * 37 % 18000) /
 
 @query("geo_distance", f"SELECT doc_id, 1.0::DOUBLE AS score FROM ({_PLACES}) WHERE {_HAVERSINE} <= 4000000")
 def geo_distance(spark, sf_dir):
-    return hits(scored(customers(spark, sf_dir), GeoDistance("place", 10.5, 20.25, 4_000_000)))
+    return hits(matched(customers(spark, sf_dir), GeoDistance("place", 10.5, 20.25, 4_000_000)))
 
 
 @query("sort_geo", f"SELECT doc_id, CAST(row_number() OVER (ORDER BY {_HAVERSINE}, doc_id) AS INT) AS rank FROM ({_PLACES}) QUALIFY rank <= 20")
@@ -261,7 +301,7 @@ def range_date(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     day = lambda m: datetime.datetime(1995, m, 1)
     corpus = Corpus(lines, LINES)
-    node = Range("l_shipdate", day(1), day(2), True, False)
+    node = Range("l_shipdate", day(1), day(2), True, False)  # no text is read, so the condition goes to the reader
     return lines.where(node.build(Context(corpus))[0]).select("l_orderkey", "l_linenumber")
 
 
@@ -326,9 +366,12 @@ def cardinality_exact(spark, sf_dir):
     return facets.cardinality(table(spark, sf_dir, "events"), "user_id", exact=True)
 
 
-@query("cardinality_sketch")
+@query("cardinality_sketch", "SELECT true AS near")
 def cardinality_sketch(spark, sf_dir):
-    return facets.cardinality(table(spark, sf_dir, "events"), "user_id")
+    """Whether the sketch is within three per cent of the exact number."""
+    e = table(spark, sf_dir, "events")
+    both = facets.cardinality(e, "user_id").crossJoin(facets.cardinality(e, "user_id", exact=True).withColumnRenamed("value", "exact"))  # one row each
+    return both.select((F.abs(F.col("value") - F.col("exact")) <= 0.03 * F.col("exact") + 1).alias("near"))
 
 
 @query("percentiles_exact", "SELECT '50' AS key, round(quantile_cont(value, 0.5), 6) AS value FROM events UNION ALL SELECT '95', round(quantile_cont(value, 0.95), 6) FROM events UNION ALL SELECT '99', round(quantile_cont(value, 0.99), 6) FROM events")
@@ -336,14 +379,41 @@ def percentiles_exact(spark, sf_dir):
     return facets.percentiles(table(spark, sf_dir, "events"), "value", exact=True).withColumn("value", F.round("value", 6))
 
 
-@query("percentiles_sketch")
+@query("percentiles_sketch", "SELECT * FROM (VALUES ('50', true), ('95', true), ('99', true)) v(key, near)")
 def percentiles_sketch(spark, sf_dir):
-    return facets.percentiles(table(spark, sf_dir, "events"), "value")
+    """Whether each value has its share of all values below it, to one part in a hundred."""
+    e = table(spark, sf_dir, "events")
+    points = facets.percentiles(e, "value")
+    ranks = e.crossJoin(F.broadcast(points.withColumnRenamed("value", "p"))).groupBy("key").agg(F.avg((F.col("value") <= F.col("p")).cast("double")).alias("share"))  # three rows
+    return ranks.select("key", (F.abs(F.col("share") - F.col("key").cast("double") / 100) <= 0.01).alias("near"))
+
+
+@query("histogram_in_terms", """WITH p AS (SELECT o_orderpriority AS parent_key, count(*) AS c FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3)
+SELECT parent_key, floor(o_totalprice / 50000.0) * 50000.0 AS key, count(*) AS doc_count FROM orders JOIN p ON o_orderpriority = parent_key GROUP BY 1, 2""")
+def histogram_in_terms(spark, sf_dir):
+    return facets.histogram(facets.within(table(spark, sf_dir, "orders"), "o_orderpriority", 3), "o_totalprice", 50000.0, by=("parent_key",))
+
+
+@query("percentiles_in_terms", "SELECT event_type AS parent_key, '50' AS key, round(quantile_cont(value, 0.5), 6) AS value FROM events GROUP BY 1")
+def percentiles_in_terms(spark, sf_dir):
+    return facets.percentiles(facets.within(table(spark, sf_dir, "events"), "event_type", 0), "value", (50.0,), True, by=("parent_key",)).withColumn("value", F.round("value", 6))
+
+
+@query("range_in_terms_in_terms", """SELECT o_orderpriority AS parent_key, o_orderstatus AS status, k AS key, count(*) FILTER (WHERE CASE k WHEN 'low' THEN o_totalprice < 100000 ELSE o_totalprice >= 100000 END) AS doc_count
+FROM orders, (VALUES ('low'), ('high')) v(k) GROUP BY 1, 2, 3""")
+def range_in_terms_in_terms(spark, sf_dir):
+    inner = facets.within(facets.within(table(spark, sf_dir, "orders"), "o_orderpriority", 0), "o_orderstatus", 0, "status", ("parent_key",))
+    return facets.ranges(inner, "o_totalprice", [("low", None, 1e5), ("high", 1e5, None)], ("parent_key", "status"))
+
+
+@query("histogram_key_text", "SELECT CASE WHEN k = floor(k) THEN CAST(k AS BIGINT)::VARCHAR ELSE k::VARCHAR END AS key, count(*) AS doc_count FROM (SELECT floor(l_quantity / 2.5) * 2.5::DOUBLE AS k FROM lineitem) GROUP BY 1")
+def histogram_key_text(spark, sf_dir):
+    return facets.histogram(table(spark, sf_dir, "lineitem"), "l_quantity", 2.5).select(facets.key_text(F.col("key")).alias("key"), "doc_count")
 
 
 @query("facets_of_match", f"WITH {_DOCS} SELECT source AS key, count(*) AS doc_count FROM d WHERE {_has('the')} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
 def facets_of_match(spark, sf_dir):
-    return facets.terms(scored(documents(spark, sf_dir), Term("text", "the")), "source", 5)
+    return facets.terms(matched(documents(spark, sf_dir), Term("text", "the"), ["source"]), "source", 5)
 
 
 # sorting and collapsing
@@ -385,14 +455,18 @@ def collapse(spark, sf_dir):
 
 @query("collapse_by_score", f"WITH {_DOCS} SELECT source, doc_id, round({_bm25_sql('the')}, 6) AS score FROM d, s WHERE {_has('the')} QUALIFY row_number() OVER (PARTITION BY source ORDER BY {_bm25_sql('the')} DESC, doc_id) = 1")
 def collapse_by_score(spark, sf_dir):
-    found = scored(documents(spark, sf_dir), Term("text", "the")).select("doc_id", "source", "score")
+    found = matched(documents(spark, sf_dir), Term("text", "the"), ["source"])
     return ranking.collapse(found, "source", [ranking.SortKey("_score", desc=True)]).select("source", "doc_id", F.round("score", 6).alias("score"))
 
 
-@query("highlight")
+_PIECES = f"regexp_extract_all(text, '(?s){_PAT}|.')"
+
+
+@query("highlight", f"""WITH {_corpus_sql(extra=', text')}, f AS (SELECT doc_id, text FROM d, s WHERE {_has('the')} OR {_has('with')} ORDER BY {_bm25_sql('the')} + {_bm25_sql('with')} DESC, doc_id LIMIT 10)
+SELECT doc_id, array_to_string(list_transform({_PIECES}, lambda x: CASE WHEN lower(x) IN ('the', 'with') THEN '<em>' || x || '</em>' ELSE x END), '') AS marked FROM f""")
 def highlight(spark, sf_dir):
-    found = search(documents(spark, sf_dir), Match("text", "the with"), 10)
-    return ranking.highlight(found, "text", ["the", "with"], fragment_size=80).select("doc_id", F.size("highlights").alias("n"), F.array_join("highlights", " ... ").alias("marked"))
+    corpus, node = documents(spark, sf_dir), Match("text", "the with")
+    return ranking.highlight(corpus, find(corpus, node, 10), "text", node).select("doc_id", F.element_at("highlights", 1).alias("marked"))
 
 
 # vectors
@@ -448,7 +522,7 @@ b AS (SELECT vec_id AS doc_id, {_SIM['cosine']} AS score FROM embeddings ORDER B
 r AS (SELECT doc_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) AS s FROM a UNION ALL SELECT doc_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) FROM b)
 SELECT doc_id, round(sum(s), 6) AS score FROM r GROUP BY doc_id ORDER BY sum(s) DESC, doc_id LIMIT 20""")
 def hybrid_rrf(spark, sf_dir):
-    text = search(documents(spark, sf_dir), Match("text", "the and"), 20)
+    text = best(documents(spark, sf_dir), Match("text", "the and"), 20)
     vectors = knn.knn(_vectors(spark, sf_dir), "embedding", _query_vector(), 20)
     return hits(knn.fuse([text, vectors], 20))
 
@@ -474,9 +548,9 @@ def analyze_simple(spark, sf_dir):
     return _term_counts(table(spark, sf_dir, "documents"), analysis.ANALYZERS["simple"](F.col("text")))
 
 
-@query("analyze_whitespace", _counts_sql(r"regexp_extract_all(text, '[^\s\x{85}\p{Z}]+')", "benchmark"))
+@query("analyze_whitespace", _counts_sql(r"regexp_extract_all(text, '[^\s\x{0b}\x{85}\p{Z}]+')", "documents"))
 def analyze_whitespace(spark, sf_dir):
-    return _term_counts(table(spark, sf_dir, "benchmark"), analysis.custom({"tokenizer": "whitespace"})(F.col("text")))
+    return _term_counts(table(spark, sf_dir, "documents"), analysis.custom({"tokenizer": "whitespace"})(F.col("text")))
 
 
 @query("analyze_html", _counts_sql(_toks("replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'gs'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&')"), "pages"))
@@ -514,15 +588,12 @@ def analyze_synonym(spark, sf_dir):
 y AS (SELECT doc_id, unnest(t) AS term, unnest(range(0, len(t))) AS pos FROM x), z AS (SELECT doc_id, term, min(pos) AS pos FROM y WHERE length(term) BETWEEN 3 AND 6 GROUP BY 1, 2)
 SELECT term, count(*) AS n, CAST(sum(pos) AS BIGINT) AS places FROM z GROUP BY term""")
 def analyze_fold_length_unique(spark, sf_dir):
-    # a row for each distinct term instead of the quadratic array filter: texts have tens of thousands of tokens
-    toks = analysis.custom({"tokenizer": "standard", "filters": ["lowercase", "ascii_folding", {"type": "length", "min": 3, "max": 6}]})(F.col("text"))
-    first = table(spark, sf_dir, "documents").select("doc_id", F.explode(toks).alias("t")).groupBy("doc_id", F.col("t.term").alias("term")).agg(F.min("t.pos").alias("pos"))
-    return first.groupBy("term").agg(F.count("*").alias("n"), F.sum("pos").alias("places"))
+    return _term_counts(table(spark, sf_dir, "documents"), analysis.custom({"tokenizer": "standard", "filters": ["lowercase", "ascii_folding", {"type": "length", "min": 3, "max": 6}, "unique"]})(F.col("text")))
 
 
 @query("analyze_english")
 def analyze_english(spark, sf_dir):
-    return _term_counts(table(spark, sf_dir, "benchmark"), analysis.ANALYZERS["english"](F.col("text")))
+    return _term_counts(table(spark, sf_dir, "documents"), analysis.ANALYZERS["english"](F.col("text")))
 
 
 # rows in and out
@@ -542,14 +613,14 @@ def delete_antijoin(spark, sf_dir):
 
 @query("number_by_key", "SELECT p_name, p_partkey, row_number() OVER (ORDER BY p_partkey) AS doc_id FROM part")
 def number_by_key(spark, sf_dir):
-    return index.numbered(table(spark, sf_dir, "part").select("p_name", "p_partkey"), "p_partkey")
+    return index.numbered(table(spark, sf_dir, "part").select("p_name", "p_partkey"), "p_partkey", Scratch(spark, "numbered").root)[0]
 
 
 # the same conditions in SQL: the index as a view, full-text scores as one of its columns
 
 
 def _view(spark, sf_dir, node, name: str) -> None:
-    scored(documents(spark, sf_dir), node).select("doc_id", "lang", "source", "n_chars", "score").createOrReplaceTempView(name)
+    matched(documents(spark, sf_dir), node, ["lang", "source", "n_chars"]).createOrReplaceTempView(name)
 
 
 @query("sql_match", f"WITH {_DOCS} SELECT doc_id, lang, round({_bm25_sql('the')}, 6) AS score FROM d, s WHERE {_has('the')} AND n_chars BETWEEN 500 AND 3000 AND lang IN ('en', 'de') ORDER BY {_bm25_sql('the')} DESC, doc_id LIMIT 10")
@@ -563,14 +634,26 @@ def sql_between_in_like(spark, sf_dir):
     return spark.sql("SELECT p_partkey, p_brand FROM {p} WHERE p_size BETWEEN :low AND :high AND p_brand LIKE 'Brand#1%' AND p_partkey NOT IN (3, 7)", args={"low": 5, "high": 20}, p=table(spark, sf_dir, "part"))
 
 
-@query("sql_not", f"WITH {_DOCS} SELECT doc_id FROM d WHERE NOT ({_has('the')}) AND lang = 'en'")
+@query("sql_not", f"WITH {_DOCS} SELECT doc_id, 0.0::DOUBLE AS score FROM d WHERE NOT ({_has('the')}) AND lang = 'en'")
 def sql_not(spark, sf_dir):
-    return scored(documents(spark, sf_dir), Bool(must=(MatchAll(),), filter=(Term("lang", "en"),), must_not=(Term("text", "the"),))).select("doc_id")
+    # a selection that only filters scores 0; NOT of a condition is what its matches leave
+    _view(spark, sf_dir, Match("text", "the"), "matches")
+    return spark.sql("SELECT doc_id, 0.0D AS score FROM {d} d WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.doc_id = d.doc_id) AND lang = 'en'", d=table(spark, sf_dir, "documents"))
+
+
+@query("sql_match_or_filter", f"WITH {_DOCS} SELECT doc_id, round({_bm25_sql('the')} + (lang IN ('fr', 'de'))::INT, 6) AS score FROM d, s WHERE {_has('the')} OR lang IN ('fr', 'de')")
+def sql_match_or_filter(spark, sf_dir):
+    _view(spark, sf_dir, Match("text", "the"), "matches")
+    return spark.sql("SELECT doc_id, round(coalesce(m.score, 0) + CAST(d.lang IN ('fr', 'de') AS INT), 6) AS score FROM {d} d LEFT JOIN matches m USING (doc_id) WHERE m.score IS NOT NULL OR d.lang IN ('fr', 'de')", d=table(spark, sf_dir, "documents"))
+
+
+@query("sql_like_terms", "WITH x AS (SELECT doc_id, " + _toks("text") + " AS t FROM documents) SELECT doc_id FROM x WHERE len(list_filter(t, lambda v: v LIKE 'th_t%ion')) > 0")
+def sql_like_terms(spark, sf_dir):
+    """LIKE on a text field asks for its terms: % is any run and _ one character."""
+    _view(spark, sf_dir, Wildcard("text", "th?t*ion"), "likes")
+    return spark.sql("SELECT doc_id FROM likes")
 
 
 @query("sql_order_limit_offset", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10 OFFSET 5")
 def sql_order_limit_offset(spark, sf_dir):
     return spark.sql("SELECT doc_id, n_chars FROM {d} ORDER BY n_chars DESC, doc_id LIMIT 10 OFFSET 5", d=table(spark, sf_dir, "documents"))
-
-
-__all__ = ["ORACLES", "QUERIES", "nodes", "query", "top"]

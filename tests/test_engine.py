@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from tesselon.functions import analysis, scoring
 from tesselon.functions.porter2 import stem
 from tesselon.operators import facets, knn, quantisation, ranking
-from tesselon.operators.nodes import BM25F, Bool, Function, FunctionScore, Fuzzy, GeoDistance, Match, MatchAll, Phrase, Prefix, QueryError, Range, Regexp, SpanNear, Term, Wildcard
-from tesselon.operators.search import Corpus, field_statistics, match_postings, phrase_postings, postings, rescored, scored, search
+from tesselon.operators.nodes import BM25F, Bool, Function, FunctionScore, Fuzzy, GeoDistance, Match, MatchAll, MatchNone, Phrase, Prefix, QueryError, Range, Regexp, SpanNear, Term, Wildcard
+from tesselon.operators.retrieval import Corpus, find, matched, rescored, scored
+from tesselon.plans.conditions import from_dict, from_json, from_text
 from tesselon.plans.schema import Field, Schema, SchemaError
+from tesselon.sources.index import invert
 
 SAMPLE = [
     (1, "a", "the quick brown fox", "anim", 2001),
@@ -67,10 +69,10 @@ def test_conditions(sample, node, want):
 
 
 def test_match_ranks_repeats_first(sample):
-    assert ids(search(sample, Match("title", "quick dog"), 10))[0] in "bc" and set(ids(search(sample, Match("title", "quick dog"), 10))) == set("abc")
-    both = ids(search(sample, Match("title", "quick"), 10))
+    assert ids(find(sample, Match("title", "quick dog"), 10))[0] in "bc" and set(ids(find(sample, Match("title", "quick dog"), 10))) == set("abc")
+    both = ids(find(sample, Match("title", "quick"), 10))
     assert both == ["c", "a"]
-    assert ids(search(sample, MatchAll(), 2, offset=1)) == ["b", "c"] and ids(search(sample, MatchAll(), 0)) == []
+    assert ids(find(sample, MatchAll(), 2, offset=1)) == ["b", "c"] and ids(find(sample, MatchAll(), 0)) == []
 
 
 def test_scores_by_hand(sample):
@@ -93,21 +95,70 @@ def test_norms_keep_four_bits(spark):
     assert got == [n if n < 16 else (n >> (n.bit_length() - 4)) << (n.bit_length() - 4) for n in range(70)]
 
 
-def test_postings_equal_rows(spark, sample):
-    size = F.size("_tok_title")
-    stats = sample.docs.agg(F.count("*").alias("n_docs"), (F.sum(size) / F.count_if(size > 0)).alias("average"))
-    for every in (False, True):
-        a = {r["doc_id"]: r["score"] for r in match_postings(postings(sample, "title"), stats, ["brown", "foxes", "brown"], every).collect()}
-        b = {r["doc_id"]: r["score"] for r in scored(sample, Match("title", "brown foxes brown", "must" if every else "should")).collect()}
-        assert a == pytest.approx(b) and a
+NODES = [
+    Match("title", "brown foxes brown"), Match("title", "brown foxes", "must"), Phrase("title", "brown fox"), Phrase("title", "quick fox", 1), Phrase("title", "brown brown", 5),
+    SpanNear("title", ("fox", "quick"), 1, in_order=False), Prefix("title", "fox"), Wildcard("title", "f?x*"), Fuzzy("title", "quikc"), Range("title", "f", "l"),
+    Bool(must=(Term("title", "quick"),), should=(Term("tag", "anim"), Prefix("title", "fox")), must_not=(Term("title", "brown"),)),
+    Bool(must=(MatchAll(),), must_not=(Term("title", "the"),)), Bool(should=(Term("title", "the"), Range("year", 2005, None))), Bool(must_not=(Term("title", "the"),)),
+    FunctionScore(Term("title", "quick"), (Function("field_value_factor", field="year", filter=Term("title", "brown")),), boost_mode="sum"),
+]
 
 
-def test_phrase_from_postings_equals_rows(spark, sample):
-    stats = field_statistics(sample, "title")
-    for text, slop in (("brown fox", 0), ("quick fox", 0), ("quick fox", 1), ("brown brown", 5), ("fox", 0)):
-        a = {r["doc_id"]: r["score"] for r in phrase_postings(postings(sample, "title"), stats, text.split(), slop).collect()}
-        b = {r["doc_id"]: r["score"] for r in scored(sample, Phrase("title", text, slop)).collect()}
-        assert a == pytest.approx(b), text
+@pytest.fixture(scope="module")
+def indexed(spark, sample, tmp_path_factory):
+    return invert(sample, str(tmp_path_factory.mktemp("ix")))
+
+
+@pytest.mark.parametrize("node", NODES, ids=str)
+def test_an_index_gives_what_a_scan_gives(sample, indexed, node):
+    a, b = ({r["doc_id"]: r["score"] for r in matched(c, node).collect()} for c in (sample, indexed))
+    assert a == pytest.approx(b)
+
+
+def test_hits_of_an_index_are_fetched_by_id(sample, indexed):
+    node = Match("title", "brown quick")
+    got = find(indexed, node, 2)
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in find(sample, node, 2).collect()]
+    assert find(indexed, Term("title", "absent"), 2).collect() == []
+
+
+def test_a_scan_analyses_each_text_once(spark, sample):
+    plan = matched(sample, Bool(must=(Match("title", "brown quick fox"),), should=(Phrase("title", "brown fox", 2), Prefix("title", "f"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2  # the statistics' scan and the matches'
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_merges_equal_brute_force(spark, seed):
+    import itertools
+    import random
+
+    rng = random.Random(seed)
+    texts = [(i, [rng.choice("abcd") for _ in range(rng.randrange(1, 30))]) for i in range(60)]
+    corpus = Corpus(spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, title string"), Schema((Field("title", "text"),)))
+    for span, slop in ((("a", "b"), 0), (("a", "b", "a"), 1), (("c", "a", "d"), 3), (("a", "a"), 2)):
+        places = lambda t: [[i for i, w in enumerate(t) if w == s] for s in span]  # noqa: B023, E731
+        ordered = {i for i, t in texts if any(all(x < y for x, y in itertools.pairwise(q)) and q[-1] - q[0] - len(q) + 1 <= slop for q in itertools.product(*places(t)))}
+        near = {i for i, t in texts if any(max(q) - min(q) - len(q) + 1 <= slop for q in itertools.product(*places(t)))}
+        assert {r["doc_id"] for r in matched(corpus, SpanNear("title", span, slop)).collect()} == ordered
+        assert {r["doc_id"] for r in matched(corpus, SpanNear("title", span, slop, in_order=False)).collect()} == near
+
+
+def test_conditions_from_text_and_json():
+    assert from_text('a +b -c d:"e f" n:[1 TO 5} h*', "t") == Bool(should=(Match("t", "a"), Phrase("d", "e f"), Range("n", "1", "5", True, False), Prefix("t", "h")), must=(Match("t", "b"),), must_not=(Match("t", "c"),))
+    assert from_text("a AND b", "t") == Bool(should=(Match("t", "a"),), must=(Match("t", "b"),)) and from_text("a", "t") == Match("t", "a")
+    assert from_text("NOT a b", "t") == Bool(must_not=(Match("t", "a"),), should=(Match("t", "b"),)) and from_text(" ", "t") == MatchNone()
+    assert from_text("n:{* TO 5]", "t") == Range("n", None, "5", False, True)
+    for bad in ("[0", '"open', "[1 5]", "f:", "a NOT", "[1 TO 2", "]"):
+        with pytest.raises(QueryError):
+            from_text(bad, "t")
+    assert from_dict({"match": {"field": "f", "query": "q", "operator": "and"}, "boost": 2}) == Match("f", "q", "must", boost=2.0)
+    assert from_json('{"range": {"field": "n", "gt": 1, "lte": 3}}') == Range("n", 1, 3, False, True)
+    assert from_dict({"bm25f": {"terms": ["x"], "fields": [{"name": "a", "boost": 2, "b": -1}]}}) == BM25F(("x",), (("a", 2.0, None),))
+    scored_by = {"function_score": {"query": {"match_all": {}}, "functions": [{"gauss": {"field": "n", "origin": 1, "scale": 2}, "weight": 3}], "score_mode": "sum"}}
+    assert from_dict(scored_by) == FunctionScore(MatchAll(), (Function("gauss", weight=3.0, field="n", origin=1.0, scale=2.0),), "sum")
+    for bad in ("[1]", "{}", '{"term": 1}', '{"other": {}}', '{"term": {"value": "x"}}', '{"term": {}, "match": {}}', "{"):
+        with pytest.raises(QueryError):
+            from_json(bad)
 
 
 def test_function_scores(spark, sample):
@@ -126,13 +177,13 @@ def test_function_scores(spark, sample):
 
 def test_rescore(sample):
     found = rescored(sample, Match("title", "brown quick"), Phrase("title", "brown fox"), window=5, k=3, rescore_weight=10.0)
-    assert ids(found)[0] == "a" and len(ids(found)) == 3
+    assert [r["doc_id"] for r in found.collect()][0] == 1 and found.count() == 3
 
 
 def test_bm25f_prefers_the_weighted_field(spark):
     docs = spark.createDataFrame([(1, "x", "red shoe", "plain"), (2, "y", "plain", "red shoe"), (3, "z", "none", "none")], "doc_id long, _id string, title string, body string")
     corpus = Corpus(docs, Schema((Field("title", "text"), Field("body", "text"))))
-    assert ids(search(corpus, BM25F(("red", "shoe"), (("title", 3.0, None), ("body", 1.0, None))), 5)) == ["x", "y"]
+    assert ids(find(corpus, BM25F(("red", "shoe"), (("title", 3.0, None), ("body", 1.0, None))), 5)) == ["x", "y"]
 
 
 def test_geo(spark):
@@ -189,7 +240,7 @@ def test_custom_analyzers(spark):
 
 @pytest.mark.parametrize(
     ("word", "want"),
-    [("caresses", "caress"), ("ponies", "poni"), ("ties", "tie"), ("cries", "cri"), ("gas", "gas"), ("kiwis", "kiwi"), ("agreed", "agre"), ("hopping", "hop"), ("hoping", "hope"), ("luxuriating", "luxuri"), ("national", "nation"), ("generously", "generous"), ("communication", "communic"), ("relational", "relat"), ("happy", "happi"), ("by", "by"), ("say", "say"), ("skies", "sky"), ("dying", "die"), ("adoption", "adopt"), ("knightly", "knight"), ("controlling", "control"), ("electricity", "electr"), ("consisting", "consist"), ("news", "news")],
+    [("caresses", "caress"), ("ponies", "poni"), ("ties", "tie"), ("cries", "cri"), ("gas", "gas"), ("kiwis", "kiwi"), ("agreed", "agre"), ("hopping", "hop"), ("hoping", "hope"), ("luxuriating", "luxuri"), ("national", "nation"), ("generously", "generous"), ("communication", "communic"), ("relational", "relat"), ("happy", "happi"), ("by", "by"), ("say", "say"), ("skies", "sky"), ("dying", "die"), ("adoption", "adopt"), ("knightly", "knight"), ("controlling", "control"), ("electricity", "electr"), ("consisting", "consist"), ("news", "news"), ("evening", "evening")],
 )
 def test_porter2(word, want):
     assert stem(word) == want
@@ -229,12 +280,30 @@ def test_sorting_and_collapsing(shoes):
 
 
 def test_highlight(spark):
-    hit = spark.createDataFrame([(1, "The quick brown fox. " + "filler words here " * 20 + "A Quick end"), (2, None)], "doc_id long, t string")
-    whole, none = ranking.highlight(hit, "t", ["quick"]).orderBy("doc_id").collect()
+    docs = spark.createDataFrame([(1, "The quick brown fox. " + "filler words here " * 20 + "A Quick end"), (2, None)], "doc_id long, t string")
+    corpus = Corpus(docs, Schema((Field("t", "text"),)))
+    whole, none = ranking.highlight(corpus, docs, "t", Bool(must=(Match("t", "quick"),), must_not=(Term("t", "brown"),))).orderBy("doc_id").collect()
     assert whole["highlights"][0].count("<em>") == 2 and "<em>Quick</em> end" in whole["highlights"][0] and none["highlights"] == []
-    cut = ranking.highlight(hit, "t", ["quick"], "[", "]", fragment_size=30).orderBy("doc_id").first()["highlights"]
+    cut = ranking.highlight(corpus, docs, "t", Match("t", "quick"), "[", "]", fragment_size=30).orderBy("doc_id").first()["highlights"]
     assert len(cut) == 2 and all(len(c) <= 40 and "uick]" in c for c in cut)
-    assert ranking.highlight(hit, "t", ["fox"], stemmed=True).orderBy("doc_id").first()["highlights"]
+
+
+@pytest.mark.parametrize(
+    ("analyzer", "text", "words", "want"),
+    [
+        ("english", "Foxes dens, a fox", "fox", "<em>Foxes</em> dens, a <em>fox</em>"),
+        ({"tokenizer": "standard", "filters": ["lowercase", "ascii_folding"]}, "Ça va, ca", "ca", "<em>Ça</em> va, <em>ca</em>"),
+        ({"tokenizer": {"type": "ngram", "min": 2, "max": 2}}, "aabaa", "aa", "<em>aa</em>b<em>aa</em>"),
+        ({"tokenizer": "standard", "char_filters": ["html_strip"], "filters": ["lowercase"]}, "<b>Tag</b> tag", "tag", " <em>Tag</em>  <em>tag</em>"),
+        ({"tokenizer": "whitespace", "filters": [{"type": "synonym", "rules": ["fast => quick"]}]}, "fast car", "quick", "<em>fast</em> car"),
+    ],
+)
+def test_highlight_by_the_fields_analyzer(spark, analyzer, text, words, want):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, t string")
+    own = {} if isinstance(analyzer, str) else {"own": analysis.custom(analyzer)}
+    corpus = Corpus(docs, Schema((Field("t", "text", analyzer="own" if own else analyzer),)), own)
+    assert ranking.highlight(corpus, docs, "t", Term("t", words)).first()["highlights"] == [want]
+    assert own or [tuple(r)[1:] for r in analysis.analyze(spark, analysis.ANALYZERS["standard"], "a bc").collect()] == [(0, 0, 1), (1, 2, 4)]
 
 
 @pytest.mark.parametrize("metric", ["cosine", "dot_product", "l2"])
