@@ -1,10 +1,7 @@
-"""What the operators share: scratch tables in the cluster's shared folder, and word kernels over Arrow buffers."""
+"""What the operators share: bounds, and word kernels over Arrow buffers."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesselon.sources.scratch import Scratch, scratch_root
+
+__all__ = ["Scratch", "scratch_root"]
+
 #: The contract's word: a run of characters that are neither a space nor one of the five ASCII line and tab controls.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -26,40 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = getattr(sc, "_tesselon_scratch", None)
-        if root is None:
-            own = tempfile.TemporaryDirectory(prefix="tesselon-")
-            sc._tesselon_scratch_dir = own
-            root = sc._tesselon_scratch = f"file://{own.name}"
-    return root.rstrip("/")
-
-
-class Scratch:
-    """Tables that cut lineage: written once to the shared folder and read from there, so a lost executor costs a reread only."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def write(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-        df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, name: str | None = None) -> None:
-        try:
-            jvm, sc = self.spark._jvm, self.spark.sparkContext
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # the session has ended; the folder goes with it
-            return
+def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
+    """df, best on disk, marked for a broadcast if its rows, counted, make no more than BROADCAST_BYTES; else as it is, for a shuffle."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) * row_bytes <= BROADCAST_BYTES else df
 
 
 def n_partitions(spark: SparkSession, rows: int, each: int) -> int:

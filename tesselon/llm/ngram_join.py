@@ -3,25 +3,27 @@
 A document's set is its distinct five-word shingles (64-bit hashes). Two documents link when their sets' Jaccard
 similarity reaches num / den (3/4); the result names each document's component.
 
-1. Equal sets collapse: a 128-bit fingerprint of the set stands for all its documents.
+1. Equal sets collapse: a 128-bit fingerprint of the set stands for all its rows, its first half is the set's number.
 2. One pass deals the shingles of the distinct sets, packed, to ranges of hash values and finds those in two sets or
    more. Only they can overlap, so a set with fewer of them than 3/4 of its size links with nothing; the rest go on.
-3. Stars of equal minimum hashes are verified and joined, so large groups of near copies are one component early.
-4. The exact step: in order of rising document frequency, sets that link share one of their first
-   shared - ceil(3/4 n) + 1 shared shingles. Sets that meet at such a shingle, unless all are of one component already,
-   form signature trees of at most `CHUNK` sets; dual traversal of the trees gives the pairs that the bitmaps and
-   size ranges don't rule out; each distinct pair of different components is verified on its whole shingle sets.
+3. Signature trees over the bitmaps of the sets that remain give the candidates, by dual traversal; candidates are verified
+   on the whole sets. A single tree over all sets would compare all of them with one another, as the upper nodes of a large
+   tree are full; so there is a forest, and the work has two rounds:
+   - trees of sets with an equal minimum hash (six a set), traversed with the tree of their least set alone: large groups
+     of near copies become one component early, at a pair a set;
+   - trees of sets that share one of their first shared - ceil(3/4 n) + 1 shingles, in order of rising frequency, which any
+     two linked sets do, traversed with themselves. Nodes whose sets are of one component already are not compared.
 
-Large meetings are cut into chunks whose pairs are dealt to different tasks; members of the component that is largest
-there aren't compared with one another. No partner or candidate is capped.
+Trees hold CHUNK sets at most; larger groups are several trees whose pairs are dealt to different tasks. No partner or
+candidate is capped.
 
-Shingles are compared by 48 bits of their hashes in steps 2 to 4 (sizes n come from 64 bits): for one pair of n-shingle
-sets, the chance that any two different shingles are taken for equal is n^2 / 2^48.
+A shingle that HOT sets of one packed batch have is shared for sure: its sets needn't meet in the task of its range, which
+only learns of its frequency. So no common passage fills one task.
 
 Defined cases: null, empty and blank texts have empty sets, link with nothing and are their own component; a text
-of one to four words is one shingle; rows with a null doc_id are returned with a null component and link nothing; a
-doc_id with several texts is linked by the one with the least fingerprint, its other rows by equal texts only; an
-empty table gives an empty result; other columns pass through `deduplicate`.
+of one to four words is one shingle; rows with a null doc_id are returned with a null component and link nothing; rows
+that repeat a doc_id are linked each by its own text; an empty table gives an empty result; other columns pass
+through `deduplicate`. Equality rests on 64-bit hashes of shingles and of sets (128 bits where whole sets are compared).
 """
 
 from __future__ import annotations
@@ -31,18 +33,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tesselon.llm.common import BROADCAST_BYTES, Scratch, lower_ascii, mix64, n_partitions, slices, utf8, word_hashes, words
+from tesselon.llm.common import Scratch, lower_ascii, mix64, n_partitions, slices, small, utf8, word_hashes, words
 from tesselon.llm.components import components
-from tesselon.llm.signature_tree import Tree, bitmap, linked_leaves, may_link
+from tesselon.llm.signature_tree import Forest, bitmap, linked_leaves
 
 WIDTH, NUM, DEN = 5, 3, 4
-BITS = 48
 STARS = 6
 CHUNK = 512
-_CLIP = np.uint64(64 - BITS)
+#: Sets of one packed batch (of about a million shingles) that make a shingle hot, and the frequency it then counts as.
+HOT, HOT_DF = 64, (1 << 16) - 1
+#: Pairs of one set that a task verifies.
+PAIRS = 1024
+_LOW = np.uint64(16)
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -107,119 +113,132 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 
 def _deal(n_parts: int):
-    """Packs the shingles of each batch for every range of hash values: values, document numbers and the documents' ids."""
+    """Packs the shingles of each batch for every range of hash values: values, place of each one's set, and the sets' numbers and sizes."""
+    starts = np.array([(p << 64) // n_parts for p in range(n_parts)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         size = 0
         for batch in slices(batches):
             h, at = shingle_sets(batch.column("text"))
-            keep = np.ones(len(at) - 1, bool)
-            odd = batch.column("odd").to_numpy(zero_copy_only=False)
-            if odd.any():
-                a, _ = _fingerprints(h, at)
-                fa = batch.column("keep").fill_null(0).to_numpy(zero_copy_only=False)
-                has = ~np.asarray(batch.column("keep").is_null())
-                keep = ~odd | (has & (fa == a))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            number, _ = _fingerprints(h, at)
             n = np.diff(at)
-            owner = np.repeat(np.arange(len(ids)), n)
-            good = keep[owner]
-            held.append((h[good] >> _CLIP, ids[owner[good]], n[owner[good]]))
+            # a row that isn't the only one of its doc_id or of its set stands for the sets that `keep` names
+            stands = np.array([k is None or f in k for k, f in zip(batch.column("keep").to_pylist(), number.tolist())], bool)
+            owner = np.repeat(np.arange(len(number)), n)
+            good = stands[owner]
+            held.append((h[good], number[owner[good]], n[owner[good]]))
             size += int(good.sum())
             if size >= 1 << 20:
-                yield _packed(held, n_parts)
+                yield _packed(held, starts)
                 held, size = [], 0
         if size:
-            yield _packed(held, n_parts)
+            yield _packed(held, starts)
 
     return run
 
 
-def _packed(held: list, n_parts: int) -> pa.RecordBatch:
-    h, ids, n = (np.concatenate(x) for x in zip(*held))
-    docs, first, number = np.unique(ids, return_index=True, return_inverse=True)
-    n = n[first].astype(np.int32)
-    order = np.argsort(h, kind="stable")
-    h, number = h[order], number[order]
-    edges = np.searchsorted(h, _range_starts(n_parts))
-    rows = []
-    for p in range(n_parts):
-        lo, hi = edges[p], edges[p + 1] if p + 1 < n_parts else len(h)
-        if lo < hi:
-            # ids are written once a part where that is shorter than once a shingle
-            own, mine = np.unique(number[lo:hi], return_inverse=True)
-            rows.append((p, _pack(h[lo:hi]), mine.astype(np.uint16 if len(own) < 1 << 16 else np.uint32).tobytes(), _pack(docs[own].view(np.uint64) ^ np.uint64(1 << 63)), n[own].tobytes()))
-    part, *blobs = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *[pa.array(b, pa.binary()) for b in blobs]], names=["part", "values", "numbers", "docs", "ns"])
+PACKED = "part int, values binary, low binary, places binary, numbers binary, sizes binary, hot binary"
+
+
+def _row(part: int, h: np.ndarray, place: np.ndarray, numbers: np.ndarray, sizes: np.ndarray, hot: np.ndarray) -> tuple:
+    """48 bits of the ascending values as differences, the other 16 beside them; numbers once a row."""
+    own, mine = np.unique(place, return_inverse=True)
+    low = (h & np.uint64(0xFFFF)).astype(np.uint16)
+    return part, _pack(h >> _LOW), low.tobytes(), mine.astype(np.uint16 if len(own) < 1 << 16 else np.uint32).tobytes(), numbers[own].tobytes(), sizes[own].tobytes(), hot.tobytes()
 
 
-def _range_starts(n_parts: int) -> np.ndarray:
-    return np.array([(p << BITS) // n_parts for p in range(n_parts)], np.uint64)
+def _packed(held: list, starts: np.ndarray) -> pa.RecordBatch:
+    h, number, n = (np.concatenate(x) for x in zip(*held))
+    numbers, first, place = np.unique(number, return_index=True, return_inverse=True)
+    sizes = n[first].astype(np.int32)
+    order = np.lexsort((place, h))
+    h, place = h[order], place[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (place[1:] != place[:-1])  # of rows that repeat
+    h, place = h[new], place[new]
+    cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    count = np.diff(np.append(cut, len(h)))
+    is_hot = np.repeat(count >= HOT, count)
+    hot = h[cut[count >= HOT]]
+    rows = []
+    # hot shingles go past the ranges, in rows of the sets' own
+    if len(hot):
+        rows.append(_row(-1 - int(mix64(numbers[:1])[0] % np.uint64(len(starts))), h[is_hot], place[is_hot], numbers, sizes, np.zeros(0, np.uint64)))
+    h, place = h[~is_hot], place[~is_hot]
+    part, told = np.searchsorted(starts, h, side="right") - 1, np.searchsorted(starts, hot, side="right") - 1
+    for p in np.union1d(part, told):
+        lo, hi = np.searchsorted(part, (p, p + 1))
+        a, b = np.searchsorted(told, (p, p + 1))
+        rows.append(_row(int(p), h[lo:hi], place[lo:hi], numbers, sizes, hot[a:b]))
+    names = [c.split()[0] for c in PACKED.split(", ")]
+    part, *blobs = zip(*rows) if rows else ((), *[()] * 6)
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *[pa.array(b, pa.binary()) for b in blobs]], names=names)
 
 
 def _shared(n_buckets: int):
-    """Of one range of hash values: the shingles that several documents have, packed for each bucket of documents."""
+    """Of one range of hash values: the shingles that several sets have, packed for each bucket of sets."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         hs, ids, ns = [], [], []
-        for v, m, d, k in zip(pdf["values"], pdf["numbers"], pdf["docs"], pdf["ns"]):
-            h = _unpack(v)
-            number = np.frombuffer(m, np.uint16 if len(m) == 2 * len(h) else np.uint32)
-            hs.append(h)
-            ids.append((_unpack(d) ^ np.uint64(1 << 63)).view(np.int64)[number])
-            ns.append(np.frombuffer(k, np.int32)[number])
-        h, doc, n = np.concatenate(hs), np.concatenate(ids), np.concatenate(ns)
-        order = np.lexsort((doc, h))
-        h, doc, n = h[order], doc[order], n[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        h, doc, n = h[new], doc[new], n[new]
-        cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        df = np.diff(np.append(cut, len(h)))
-        df = np.repeat(df, df)
-        many = df >= 2
-        # the cap on df only makes the most frequent shingles equal in an order that their hashes decide
-        h, doc, n, df = h[many], doc[many], n[many], np.minimum(df[many], (1 << 16) - 1).astype(np.uint16)
-        bucket = (mix64(doc.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
-        order = np.lexsort((doc, bucket))
-        h, doc, n, df, bucket = h[order], doc[order], n[order], df[order], bucket[order]
+        for v, low, places, numbers, sizes in zip(pdf["values"], pdf["low"], pdf["places"], pdf["numbers"], pdf["sizes"]):
+            high = _unpack(v)
+            place = np.frombuffer(places, np.uint16 if len(places) == 2 * len(high) else np.uint32)
+            hs.append((high << _LOW) | np.frombuffer(low, np.uint16))
+            ids.append(np.frombuffer(numbers, np.int64)[place])
+            ns.append(np.frombuffer(sizes, np.int32)[place])
+        h, number, n = np.concatenate(hs), np.concatenate(ids), np.concatenate(ns)
+        if pdf["part"].iloc[0] < 0:
+            df = np.full(len(h), HOT_DF, np.uint16)
+        else:
+            order = np.lexsort((number, h))
+            h, number, n = h[order], number[order], n[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (number[1:] != number[:-1])
+            h, number, n = h[new], number[new], n[new]
+            cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+            df = np.diff(np.append(cut, len(h)))
+            # frequencies only make an order, in which the most frequent shingles may be equal
+            df = np.repeat(np.minimum(df, HOT_DF), df)
+            df[np.isin(h, np.unique(np.frombuffer(b"".join(pdf["hot"]), np.uint64)))] = HOT_DF
+            many = df >= 2
+            h, number, n, df = h[many], number[many], n[many], df[many].astype(np.uint16)
+        bucket = (mix64(number.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+        order = np.lexsort((number, bucket))
+        h, number, n, df, bucket = h[order], number[order], n[order], df[order], bucket[order]
         rows = []
-        at = np.searchsorted(bucket, np.arange(n_buckets + 1))
-        for b in np.flatnonzero(at[1:] > at[:-1]):
-            lo, hi = at[b], at[b + 1]
-            first = np.flatnonzero(np.concatenate([[True], doc[lo + 1 : hi] != doc[lo : hi - 1]]))
+        edge = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for lo, hi in zip(edge, np.append(edge[1:], len(bucket))):
+            first = np.flatnonzero(np.concatenate([[True], number[lo + 1 : hi] != number[lo : hi - 1]]))
             count = np.diff(np.append(first, hi - lo)).astype(np.int32)
-            low, high = (h[lo:hi] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (h[lo:hi] >> np.uint64(32)).astype(np.uint16)
-            rows.append((b, doc[lo:hi][first].tobytes(), n[lo:hi][first].tobytes(), count.tobytes(), low.tobytes(), high.tobytes(), df[lo:hi].tobytes()))
-        return pd.DataFrame(rows, columns=["bucket", "docs", "ns", "counts", "low", "high", "df"]).astype({"bucket": np.int32})
+            rows.append((bucket[lo], number[lo:hi][first].tobytes(), n[lo:hi][first].tobytes(), count.tobytes(), h[lo:hi].tobytes(), df[lo:hi].tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "numbers", "sizes", "counts", "h", "df"]).astype({"bucket": np.int32})
 
     return run
 
 
 def _assemble(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket of documents: those with enough shared shingles to link with anything, and their sets.
+    """Of one bucket of sets: those with enough shared shingles to link with anything.
 
-    Columns: shared shingles ascending, document frequencies, bitmap, tokens that share a bit, minimum hashes.
+    Columns: shared shingles ascending, their frequencies, bitmap, tokens that share a bit, minimum hashes.
     """
     join = lambda c, kind: np.frombuffer(b"".join(pdf[c]), kind)
     count = join("counts", np.int32)
-    doc, n = np.repeat(join("docs", np.int64), count), np.repeat(join("ns", np.int32), count).astype(np.int64)
-    h = join("low", np.uint32).astype(np.uint64) | (join("high", np.uint16).astype(np.uint64) << np.uint64(32))
-    df = join("df", np.uint16).astype(np.uint32)
-    order = np.lexsort((h, doc))
-    doc, n, h, df = doc[order], n[order], h[order], df[order]
-    cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    stop = np.append(cut[1:], len(doc))
+    number, n = np.repeat(join("numbers", np.int64), count), np.repeat(join("sizes", np.int32), count).astype(np.int64)
+    h, df = join("h", np.uint64), join("df", np.uint16).astype(np.uint32)
+    order = np.lexsort((df, h, number))
+    order = order[np.concatenate([[True], (h[order[1:]] != h[order[:-1]]) | (number[order[1:]] != number[order[:-1]])])]  # of rows that repeat
+    number, n, h, df = number[order], n[order], h[order], df[order]
+    cut = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
     salts = mix64(np.arange(1, STARS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
     rows = []
-    for a, b in zip(cut, stop):
+    for a, b in zip(cut, np.append(cut[1:], len(number))):
         if b - a >= _least_shared(int(n[a])):
             own = h[a:b]
             bits, extra = bitmap(mix64(own))
             stars = [int(mix64(own ^ s).min().view(np.int64)) for s in salts]
-            rows.append((int(doc[a]), int(n[a]), b - a, _pack(own), df[a:b].tobytes(), bits.tobytes(), extra, stars))
-    return pd.DataFrame(rows, columns=["doc_id", "n", "shared", "h", "df", "bits", "extra", "stars"])
+            rows.append((int(number[a]), int(n[a]), b - a, _pack(own), df[a:b].tobytes(), bits.tobytes(), extra, stars))
+    return pd.DataFrame(rows, columns=["number", "n", "shared", "h", "df", "bits", "extra", "stars"])
 
 
 def _least_shared(n: np.ndarray | int, num: int = NUM, den: int = DEN):
@@ -228,16 +247,15 @@ def _least_shared(n: np.ndarray | int, num: int = NUM, den: int = DEN):
 
 
 def _first_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, h) for the shared shingles, rarest first, of which linked sets must have one in common."""
+    """(number, key) for the shared shingles, rarest first, of which linked sets must have one in common."""
     for batch in batches:
-        ids, keys = [], []
-        for doc, n, blob, counts in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("h").to_pylist(), batch.column("df").to_pylist()):
+        numbers, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for number, n, blob, counts in zip(*(batch.column(c).to_pylist() for c in ("number", "n", "h", "df"))):
             h, df = _unpack(blob), np.frombuffer(counts, np.uint32)
-            take = len(h) - _least_shared(n) + 1
-            order = np.lexsort((h, df))[:take]
+            order = np.lexsort((h, df))[: len(h) - _least_shared(n) + 1]
             keys.append(h[order].view(np.int64))
-            ids.append(np.full(len(order), doc, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64)), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], names=["doc_id", "h"])
+            numbers.append(np.full(len(order), number, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(numbers)), pa.array(np.concatenate(keys))], names=["number", "key"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,74 +270,46 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (a, b), those whose sets link."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("h").alias("ha"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("h").alias("hb"))
-    both = pairs.join(one, "a").join(two, "b").where(f"{DEN} * na >= {NUM} * nb AND {DEN} * nb >= {NUM} * na")
-    return both.mapInArrow(_verify, "a long, b long")
-
-
-def _pairs_of(rows: dict[str, np.ndarray], allowed) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates among the rows of one large meeting, by dual traversal of a tree a side."""
-    trees = {}
-    for side in np.unique(rows["side"]):
-        mine = np.flatnonzero(rows["side"] == side)
-        trees[int(side)] = (Tree(rows["bits"][mine], rows["n"][mine], rows["extra"][mine]), mine)
-    a, b = [], []
-    for x, y in allowed:
-        if x in trees and y in trees:
-            (left, li), (right, ri) = trees[x], trees[y]
-            for i, j in linked_leaves(left, right, NUM, DEN):
-                a.append(li[i])
-                b.append(ri[j])
-    none = np.zeros(0, np.int64)
-    return np.concatenate(a) if a else none, np.concatenate(b) if b else none
-
-
-#: Sides of a meeting that are compared: 0 with itself and with 1, which isn't compared with itself; 2 only with 3.
+    """Of the pairs (a, b), those whose sets link. A set with many pairs is dealt to a task for each PAIRS of them."""
+    tasks = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("tasks"))
+    one = sets.select(F.col("number").alias("a"), F.col("n").alias("na"), F.col("h").alias("ha")).join(tasks, "a")
+    one = one.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+    two = sets.select(F.col("number").alias("b"), F.col("n").alias("nb"), F.col("h").alias("hb"))
+    dealt = pairs.join(tasks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int").alias("task"))
+    both = dealt.join(two, "b").join(one, ["a", "task"]).where(f"{DEN} * na >= {NUM} * nb AND {DEN} * nb >= {NUM} * na")
+    return both.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(_verify, "a long, b long")
+
+
+#: Sides of a task: 0 is a tree to be traversed with itself and with 1, 2 a tree to be traversed with 3 only.
 SIDES = ((0, 0), (0, 1), (2, 3))
-#: A meeting of up to as many sets is one node, whose pairs are tried without a tree above it.
-LEAF = 32
+MEMBER = "key long, i int, j int, side int, number long, comp long, n long, extra int, bits binary"
+
+
+def candidates(rows: dict[str, np.ndarray], seen=None) -> np.ndarray:
+    """Pairs of numbers (2, k) that the traversal of all tasks' trees doesn't rule out. rows: as MEMBER, those of a task together."""
+    task = np.stack([rows["key"], rows["i"].astype(np.int64), rows["j"].astype(np.int64)])
+    new = np.ones(task.shape[1], bool)
+    new[1:] = (task[:, 1:] != task[:, :-1]).any(axis=0)
+    place = (np.cumsum(new) - 1) * 4 + rows["side"]
+    trees, tree = np.unique(place, return_inverse=True)
+    forest = Forest(tree, rows["bits"], rows["n"].astype(np.int64), rows["extra"].astype(np.int64), rows["comp"])
+    known = {int(t): i for i, t in enumerate(trees)}
+    pairs = [(i, known[t - t % 4 + y]) for t, i in known.items() for x, y in SIDES if t % 4 == x and t - t % 4 + y in known]
+    found = [np.zeros((2, 0), np.int64)]
+    for i, j in linked_leaves(forest, pairs, NUM, DEN, seen=seen) if pairs else ():
+        a, b = rows["number"][i], rows["number"][j]
+        found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+    return np.unique(np.concatenate(found, axis=1), axis=1)
 
 
 def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of all meetings of a partition, whose rows come sorted by meeting."""
+    """Candidates of all tasks of a partition, whose rows come sorted by task."""
     held: list[pa.RecordBatch] = []
 
     def flush(whole: pa.Table) -> pa.RecordBatch:
-        rows = {c: whole.column(c).to_numpy() for c in ("h", "i", "j", "side", "doc_id", "comp", "n", "extra")}
-        rows["n"], rows["extra"] = rows["n"].astype(np.int64), rows["extra"].astype(np.int64)
+        rows = {c: whole.column(c).to_numpy() for c in ("key", "i", "j", "side", "number", "comp", "n", "extra")}
         rows["bits"] = np.frombuffer(b"".join(whole.column("bits").to_pylist()), np.uint64).reshape(len(whole), -1)
-        key = np.stack([rows["h"], rows["i"], rows["j"]])
-        new = np.ones(len(whole), bool)
-        new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
-        cut = np.flatnonzero(new)
-        size = np.diff(np.append(cut, len(whole)))
-        meeting = np.cumsum(new) - 1
-        small = (size <= LEAF)[meeting]
-        a, b = [], []
-        node = (rows["bits"], rows["n"], rows["n"], rows["extra"])
-        for d in range(1, min(LEAF, int(size.max()))):
-            i = np.flatnonzero(small[:-d] & (meeting[:-d] == meeting[d:]))
-            j = i + d
-            x, y = np.minimum(rows["side"][i], rows["side"][j]), np.maximum(rows["side"][i], rows["side"][j])
-            good = ((x == 0) & (y <= 1) | (x == 2) & (y == 3)) & (rows["comp"][i] != rows["comp"][j])
-            i, j = i[good], j[good]
-            for at in range(0, len(i), 1 << 16):
-                p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                fits = may_link(node, p, node, q, NUM, DEN)
-                a.append(p[fits])
-                b.append(q[fits])
-        for g in np.flatnonzero(size > LEAF):
-            span = slice(cut[g], cut[g] + size[g])
-            i, j = _pairs_of({c: v[span] for c, v in rows.items()}, SIDES)
-            i, j = i + cut[g], j + cut[g]
-            apart = rows["comp"][i] != rows["comp"][j]
-            a.append(i[apart])
-            b.append(j[apart])
-        i = np.concatenate(a) if a else np.zeros(0, np.int64)
-        j = np.concatenate(b) if b else np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([np.minimum(rows["doc_id"][i], rows["doc_id"][j]), np.maximum(rows["doc_id"][i], rows["doc_id"][j])]), axis=1) if len(i) else np.zeros((2, 0), np.int64)
+        pairs = candidates(rows)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     n = 0
@@ -330,11 +320,10 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n += len(batch)
         if n >= 1 << 15:
             whole = pa.Table.from_batches(held)
-            last = [whole.column(c)[-1].as_py() for c in ("h", "i", "j")]
             same = np.ones(len(whole), bool)
-            for c, v in zip(("h", "i", "j"), last):
-                same &= whole.column(c).to_numpy() == v
-            done = len(whole) - int(same.sum())  # the last meeting may go on in the next batch
+            for c in ("key", "i", "j"):
+                same &= whole.column(c).to_numpy() == whole.column(c)[-1].as_py()
+            done = len(whole) - int(same.sum())  # the last task may go on in the next batch
             if done:
                 yield flush(whole.slice(0, done))
             held = whole.slice(done).combine_chunks().to_batches()
@@ -343,26 +332,43 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(pa.Table.from_batches(held))
 
 
-def _meetings(keys: DataFrame, sets: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
-    """Candidate pairs of different components that share one of their first shingles."""
-    labelled = keys.join(comps, "doc_id", "left").select("h", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
-    per = labelled.groupBy("h", "comp").agg(F.count("*").alias("k"))
-    met = per.groupBy("h").agg(F.sum("k").alias("m"), F.count("*").alias("n_comps"), F.max(F.struct("k", "comp")).alias("top")).where("n_comps > 1").select("h", "m", F.col("top")["comp"].alias("main"), F.col("top")["k"].alias("n_main"))
-    rows = labelled.join(met, "h").withColumn("is_main", (F.col("comp") == F.col("main")) & (F.col("n_main") > 1))
-    rows = rows.withColumn("n_others", F.when(F.col("n_main") > 1, F.col("m") - F.col("n_main")).otherwise(F.col("m")))
-    chunks = lambda n: F.ceil(n / F.lit(CHUNK)).cast("int")
-    rows = rows.withColumn("ko", F.greatest(chunks(F.col("n_others")), F.lit(1))).withColumn("km", F.greatest(chunks(F.when(F.col("n_main") > 1, F.col("n_main")).otherwise(0)), F.lit(1)))
-    spot = F.pmod(F.xxhash64("doc_id", "h"), F.when(F.col("is_main"), F.col("km")).otherwise(F.col("ko"))).cast("int")
+def _traversed(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidates (a, b) of tasks (key, i, j, side, number, comp)."""
+    rows = members.join(sets.select("number", "n", "extra", "bits"), "number").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.select(*[c.split()[0] for c in MEMBER.split(", ")]).mapInArrow(_tree_pairs, "a long, b long").distinct()
+
+
+def _star_members(sets: DataFrame) -> DataFrame:
+    """Tasks of the first round: the trees of sets with an equal minimum hash, and their least set as a tree of its own."""
+    stars = sets.select("number", F.posexplode("stars").alias("k", "star")).select("number", F.xxhash64("k", "star").alias("key"))
+    groups = stars.groupBy("key").agg(F.min("number").alias("leader"), F.count("*").alias("m")).where("m > 1").withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
+    column = lambda c: F.lit(c).cast("int")
+    rest = stars.join(groups, "key").where("number <> leader").select("key", column(0).alias("i"), F.pmod(F.xxhash64("number"), F.col("chunks")).cast("int").alias("j"), column(3).alias("side"), "number")
+    first = groups.select("key", column(0).alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), column(2).alias("side"), F.col("leader").alias("number"))
+    return rest.unionByName(first).withColumn("comp", F.col("number"))
+
+
+def _prefix_members(keys: DataFrame, comps: DataFrame) -> DataFrame:
+    """Tasks of the second round: the trees of sets that share one of their first shingles and aren't all of one component.
+
+    The component that is largest there is not compared with itself, so its sets are dealt in chunks of their own. Task
+    (i, j) with j < ko compares chunks i <= j of the others, one with j >= ko chunk i of the others with chunk j - ko of it.
+    """
+    labelled = keys.join(comps, "number", "left").select("key", "number", F.coalesce("comp", "number").alias("comp"))
+    per = labelled.groupBy("key", "comp").agg(F.count("*").alias("k"))
+    met = per.groupBy("key").agg(F.sum("k").alias("m"), F.count("*").alias("n_comps"), F.max(F.struct("k", "comp")).alias("top")).where("n_comps > 1")
+    met = met.select("key", "m", F.col("top")["comp"].alias("main"), F.when(F.col("top")["k"] > 1, F.col("top")["k"]).otherwise(0).alias("n_main"))
+    rows = labelled.join(met, "key").withColumn("is_main", (F.col("comp") == F.col("main")) & (F.col("n_main") > 1))
+    chunks = lambda n: F.greatest(F.ceil(n / CHUNK), F.lit(1)).cast("int")
+    rows = rows.withColumn("ko", chunks(F.col("m") - F.col("n_main"))).withColumn("km", chunks(F.col("n_main")))
+    spot = F.pmod(F.xxhash64("number", "key"), F.when(F.col("is_main"), F.col("km")).otherwise(F.col("ko"))).cast("int")
     rows = rows.withColumn("spot", spot)
-    # task (i, j) of a meeting: j < ko compares chunks i <= j of the others, j >= ko chunk i of the others with chunk j - ko of the main component
-    task = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
-    upto = F.transform(F.sequence(F.lit(0), F.col("ko") - 1), lambda o: F.when(o == F.col("spot"), task(o, o, F.lit(0))).when(o > F.col("spot"), task(F.col("spot"), o, F.lit(2))).otherwise(task(o, F.col("spot"), F.lit(3))))
-    across = F.when(F.col("n_main") > 1, F.transform(F.sequence(F.lit(0), F.col("km") - 1), lambda c: task(F.col("spot"), c + F.col("ko"), F.lit(2)))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
-    main = F.transform(F.sequence(F.lit(0), F.col("ko") - 1), lambda o: task(o, F.col("spot") + F.col("ko"), F.lit(3)))
-    dealt = rows.withColumn("t", F.explode(F.when(F.col("is_main"), main).otherwise(F.concat(upto, across)))).select("h", "doc_id", "comp", "t.*")
-    with_bits = dealt.join(sets.select("doc_id", "n", "extra", "bits"), "doc_id")
-    pairs = with_bits.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").select("h", "i", "j", "side", "doc_id", "comp", "n", "extra", "bits").mapInArrow(_tree_pairs, "a long, b long")
-    return scratch.write(pairs.distinct(), "meetings")
+    task = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).cast("int").alias("side"))
+    others = lambda n: F.sequence(F.lit(0), n - 1)
+    upto = F.transform(others(F.col("ko")), lambda o: F.when(o == F.col("spot"), task(o, o, 0)).when(o > F.col("spot"), task(F.col("spot"), o, 2)).otherwise(task(o, F.col("spot"), 3)))
+    across = F.when(F.col("n_main") > 1, F.transform(others(F.col("km")), lambda c: task(F.col("spot"), c + F.col("ko"), 2))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
+    main = F.transform(others(F.col("ko")), lambda o: task(o, F.col("spot") + F.col("ko"), 3))
+    return rows.withColumn("t", F.explode(F.when(F.col("is_main"), main).otherwise(F.concat(upto, across)))).select("key", "number", "comp", "t.*")
 
 
 def _classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -373,67 +379,85 @@ def _classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
 
 
 def _representatives(docs: DataFrame, sizes: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs with `odd` (the row may not stand for its set) and `keep` (fingerprint of the only text of its doc_id that does).
+    """docs with `keep`, the sets that a row may stand for, null where it may for its own.
 
-    Only exceptional ids are named: copies of other documents, and ids that come more than once.
+    Only exceptional doc_ids are named: those of copies of other documents, and those that come with several texts.
     """
-    reps = classes.groupBy("rep").agg(F.min("fa").alias("keep"), F.count("*").alias("texts"), F.max("copies").alias("most")).withColumnRenamed("rep", "doc_id")
-    crowded = classes.where("copies > 1").select("fa", "fb", F.col("rep"))
+    crowded = classes.where("copies > 1").select("fa", "fb", "rep")
     copies = sizes.where("n > 0 AND doc_id IS NOT NULL").join(crowded, ["fa", "fb"]).where("doc_id <> rep").select("doc_id").distinct()
-    odd = copies.join(reps.select("doc_id", "keep"), "doc_id", "left").unionByName(reps.where("texts > 1").select("doc_id", "keep")).distinct()
-    odd = scratch.write(odd, "odd")
-    if odd.count() * 64 <= BROADCAST_BYTES:
-        odd = F.broadcast(odd)
-    return docs.where("doc_id IS NOT NULL").join(odd.withColumn("odd", F.lit(True)), "doc_id", "left").select("doc_id", "text", F.coalesce("odd", F.lit(False)).alias("odd"), "keep")
+    reps = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_set("fa").alias("keep"))
+    odd = copies.join(reps, "doc_id", "left").unionByName(reps.where("size(keep) > 1")).groupBy("doc_id").agg(F.first("keep", True).alias("keep"))
+    odd = scratch.write(odd.select("doc_id", F.coalesce("keep", F.array().cast("array<long>")).alias("keep")), "odd")
+    size = odd.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("keep")), F.lit(0)).alias("k")).first()
+    return docs.where("doc_id IS NOT NULL").join(small(odd, 1, 64 * size["n"] + 16 * size["k"]), "doc_id", "left").select("doc_id", "text", "keep")
 
 
 def link(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sizes of all rows, classes of equal sets, and (id, comp) of the representatives that link with others. docs: (doc_id long, text)."""
+    """Sizes of all rows, classes of equal sets, and (number, comp) of the sets that link with others. docs: (doc_id long, text)."""
     spark: SparkSession = docs.sparkSession
     sizes, classes = _classes(docs, scratch)
     total = classes.agg(F.sum("n")).first()[0] or 0
     parts = n_partitions(spark, total, 1 << 20)
-    dealt = _representatives(docs, sizes, classes, scratch).mapInArrow(_deal(parts), "part int, values binary, numbers binary, docs binary, ns binary")
-    shared = dealt.groupBy("part").applyInPandas(_shared(parts), "bucket int, docs binary, ns binary, counts binary, low binary, high binary, df binary")
-    sets = shared.groupBy("bucket").applyInPandas(_assemble, "doc_id long, n long, shared long, h binary, df binary, bits binary, extra int, stars array<long>")
+    dealt = _representatives(docs, sizes, classes, scratch).mapInArrow(_deal(parts), PACKED)
+    shared = dealt.groupBy("part").applyInPandas(_shared(parts), "bucket int, numbers binary, sizes binary, counts binary, h binary, df binary")
+    sets = shared.groupBy("bucket").applyInPandas(_assemble, "number long, n long, shared long, h binary, df binary, bits binary, extra int, stars array<long>")
     sets = scratch.write(sets, "sets")
-    stars = sets.select("doc_id", F.posexplode("stars").alias("k", "star"))
-    leaders = stars.groupBy("k", "star").agg(F.min("doc_id").alias("a"), F.count("*").alias("m")).where("m > 1")
-    near = stars.join(leaders, ["k", "star"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    near = scratch.write(_traversed(_star_members(sets), sets), "near")
     edges = scratch.write(verified(near, sets), "stars")
-    comps = components(edges, scratch, "stars").select(F.col("id").alias("doc_id"), "comp")
-    keys = sets.select("doc_id", "n", "h", "df").mapInArrow(_first_shingles, "doc_id long, h long")
-    more = verified(_meetings(keys, sets, comps, scratch), sets)
-    edges = scratch.write(edges.unionByName(more), "links")
-    linked = components(edges, scratch, "links")
+    comps = components(edges, scratch, "stars").select(F.col("id").alias("number"), "comp")
+    keys = sets.select("number", "n", "h", "df").mapInArrow(_first_shingles, "number long, key long")
+    more = scratch.write(_traversed(_prefix_members(keys, comps), sets), "meetings")
+    edges = scratch.write(edges.unionByName(verified(more, sets)), "links")
+    linked = components(edges, scratch, "links").select(F.col("id").alias("number"), "comp")
+    scratch.drop("sets", "near", "meetings")
     return sizes, classes, linked
 
 
+def _components(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, n, fa, fb, component_id) of every row."""
+    sizes, classes, linked = link(docs, scratch)
+    # only sets with several documents or with links have a component other than their own document
+    placed = classes.select("fa", "fb", "rep", "copies").join(linked.withColumnRenamed("number", "fa"), "fa", "left")
+    least = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("rep").alias("least"))
+    named = placed.where("copies > 1 OR comp IS NOT NULL").join(least, "comp", "left").select("fa", "fb", F.coalesce("least", "rep").alias("comp"))
+    found = sizes.join(small(scratch.write(named, "named"), 64), ["fa", "fb"], "left")
+    own = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    return found.select("doc_id", "n", "fa", "fb", F.when(own, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
 def join_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    scratch = Scratch(docs.sparkSession, "ngram")
-    sizes, classes, linked = link(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), scratch)
-    # only sets with several documents or with links have a component other than their own document
-    named = classes.join(linked.withColumnRenamed("id", "rep"), "rep", "left").where("copies > 1 OR comp IS NOT NULL").select("fa", "fb", F.coalesce("comp", "rep").alias("comp"))
-    named = scratch.write(named, "named")
-    for name in ("sets", "meetings"):
-        scratch.drop(name)
-    if named.count() * 64 <= BROADCAST_BYTES:
-        named = F.broadcast(named)
-    found = sizes.join(named, ["fa", "fb"], "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return _components(rows, Scratch(docs.sparkSession, "ngram")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs of which each component keeps the one with its smallest doc_id; rows without words stay."""
-    found = join_components(docs, text, doc_id)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    scratch = Scratch(docs.sparkSession, "gone")
-    gone = scratch.write(gone, "gone")
-    if gone.count() * 32 <= BROADCAST_BYTES:
-        gone = F.broadcast(gone)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(doc_id).cast("long").alias("_id"))
-    return packed.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
+    """The rows of docs of which each component keeps one: the text of its smallest doc_id, of several such the one with the least fingerprint.
+
+    Rows without words and rows without a doc_id stay. A doc_id that comes once is judged by itself; rows of one that comes
+    more often are judged by their texts.
+    """
+    scratch = Scratch(docs.sparkSession, "unique")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    found = scratch.write(_components(rows, scratch), "found")
+    per = scratch.write(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or(F.col("component_id") < F.col("doc_id")).alias("gone")).where("rows > 1 OR gone"), "judged")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
+    judged = packed.join(small(per.select(F.col("doc_id").alias("_id"), "rows", "gone"), 32), "_id", "left")
+    alone = judged.where("rows IS NULL OR rows = 1 AND NOT gone").select("_row.*")
+    again = per.where("rows > 1").select(F.col("doc_id").alias("_id"))
+    if again.isEmpty():
+        return alone
+    several = judged.where("rows > 1").select("_row", "_id", _fingerprint(F.col("_text")).alias("f"))
+    chosen = found.where("n > 0 AND component_id = doc_id").join(again, F.col("doc_id") == F.col("_id"), "left_semi").groupBy("component_id").agg(F.min(F.struct("fa", "fb")).alias("f"))
+    first = F.row_number().over(Window.partitionBy("_id", "f.fa", "f.fb").orderBy(F.xxhash64("_row"), F.to_json("_row")))
+    kept = several.where("f.n > 0").join(chosen.select(F.col("component_id").alias("_id"), F.col("f").alias("best")), "_id").where("f.fa = best.fa AND f.fb = best.fb").withColumn("_first", first).where("_first = 1")
+    return alone.unionByName(kept.select("_row.*")).unionByName(several.where("f.n = 0").select("_row.*"))
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("fa", "fb", "n")]))
+def _fingerprint(texts: pd.Series) -> pd.DataFrame:
+    out = [next(_sizes(iter([pa.RecordBatch.from_arrays([pa.array([0]), pa.array([t], pa.string())], names=["doc_id", "text"])]))) for t in texts]
+    return pd.DataFrame({c: [b.column(c)[0].as_py() for b in out] for c in ("fa", "fb", "n")})
 
 
 ORACLE = r"""

@@ -3,17 +3,23 @@
 For sets A and B whose tokens are hashed to bits, overlap(A, B) is at most popcount(bits(A) & bits(B)) plus the lesser
 number of tokens that share a bit with another token of their set. With the OR of bitmaps and the greatest such number
 in each node, the same sum bounds the overlap of every pair below two nodes, and the least sizes below them bound
-the overlap that a linked pair needs.
+the overlap that a linked pair needs. A node also knows the component of its sets if they have one in common: nodes
+of one component needn't be compared.
+
+Many trees are built and traversed at once, level by level, as arrays of nodes.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 
 WORDS = 16  # of 64 bits in a bitmap
 FANOUT = 8
+MIXED = -1
 
 
 def bitmap(tokens: np.ndarray) -> tuple[np.ndarray, int]:
@@ -24,73 +30,86 @@ def bitmap(tokens: np.ndarray) -> tuple[np.ndarray, int]:
     return np.packbits(bits, bitorder="little").view(np.uint64), len(tokens) - len(bit)
 
 
-def bitmaps(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """bitmap() of many sets whose tokens lie one after another."""
-    n = len(offsets) - 1
-    owner = np.repeat(np.arange(n), np.diff(offsets))
-    bits = np.zeros(n * WORDS * 64, np.uint8)
-    bits[owner * (WORDS * 64) + (tokens & np.uint64(WORDS * 64 - 1)).astype(np.int64)] = 1
-    bits = bits.reshape(n, WORDS * 64)
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64), np.diff(offsets) - bits.sum(axis=1, dtype=np.int64)
-
-
-class Tree:
-    """Sets in order of size, then of bitmap, so that neighbours are alike; each level ORs FANOUT nodes of the one below."""
-
-    def __init__(self, bits: np.ndarray, sizes: np.ndarray, shared: np.ndarray):
-        self.order = np.lexsort((*bits.T[:2], sizes))
-        bits, sizes, shared = bits[self.order], sizes[self.order], shared[self.order]
-        self.levels = [(bits, sizes, sizes, shared)]
-        while len(self.levels[-1][1]) > 1:
-            b, low, high, s = self.levels[-1]
-            cut = np.arange(0, len(low), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(b, cut, axis=0), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(s, cut)))
-
-
-def may_link(x, i: np.ndarray, y, j: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Whether pairs of nodes can hold a pair with |A & B| / |A | B| >= num / den."""
-    xb, xlow, xhigh, xs = x
-    yb, ylow, yhigh, ys = y
-    most = np.bitwise_count(xb[i] & yb[j]).sum(axis=1, dtype=np.int64) + np.minimum(xs[i], ys[j])
-    low = xlow[i] + ylow[j]
-    fits = (den * xhigh[i] >= num * ylow[j]) & (den * yhigh[j] >= num * xlow[i])
-    return fits & ((num + den) * most >= num * low)
-
-
-def linked_leaves(left: Tree, right: Tree, num: int, den: int, block: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Dual traversal: pairs of sets (places in the given arrays) that the bounds don't rule out. For one tree twice, each pair once."""
-    same = left is right
-    top = max(len(left.levels), len(right.levels)) - 1
-    at = lambda t, k: t.levels[min(k, len(t.levels) - 1)]
-    stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+@dataclass
+class Level:
+    bits: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    extra: np.ndarray
+    comp: np.ndarray  # numbers of components, MIXED where a node has several
+    tree: np.ndarray
+    child: np.ndarray  # the first child of each node in the level below, and one more
+
+
+class Forest:
+    """Trees numbered from 0. Their sets lie in order of component, size and bitmap, so that neighbours are alike."""
+
+    def __init__(self, tree: np.ndarray, bits: np.ndarray, sizes: np.ndarray, extra: np.ndarray, comp: np.ndarray):
+        comp = np.unique(comp, return_inverse=True)[1]
+        self.order = np.lexsort((bits[:, 1], bits[:, 0], sizes, comp, tree))
+        tree, bits, sizes, extra, comp = (x[self.order] for x in (tree, bits, sizes, extra, comp))
+        self.levels = [Level(bits, sizes, sizes, extra, comp, tree, np.arange(len(tree) + 1))]
+        while len(t := self.levels[-1].tree) > 1 and (t[1:] == t[:-1]).any():
+            self.levels.append(self._above(self.levels[-1]))
+
+    @staticmethod
+    def _above(x: Level) -> Level:
+        """Nodes over each FANOUT nodes of a tree."""
+        begin = np.flatnonzero(np.diff(x.tree, prepend=-1))
+        place = np.arange(len(x.tree)) - np.repeat(begin, np.diff(np.append(begin, len(x.tree))))
+        cut = np.flatnonzero(place % FANOUT == 0)
+        low, high = np.minimum.reduceat(x.comp, cut), np.maximum.reduceat(x.comp, cut)
+        return Level(
+            np.bitwise_or.reduceat(x.bits, cut, axis=0), np.minimum.reduceat(x.low, cut), np.maximum.reduceat(x.high, cut), np.maximum.reduceat(x.extra, cut),
+            np.where((low == high) & (low != MIXED), low, MIXED), x.tree[cut], np.append(cut, len(x.tree)),
+        )
+
+
+def may_link(x: Level, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether pairs of nodes can hold a pair of sets with |A & B| / |A | B| >= num / den, of different components."""
+    most = np.bitwise_count(x.bits[i] & x.bits[j]).sum(axis=1, dtype=np.int64) + np.minimum(x.extra[i], x.extra[j])
+    fits = (den * x.high[i] >= num * x.low[j]) & (den * x.high[j] >= num * x.low[i])
+    fits &= (num + den) * most >= num * (x.low[i] + x.low[j])
+    return fits & ((x.comp[i] != x.comp[j]) | (x.comp[i] == MIXED))
+
+
+def linked_leaves(forest: Forest, pairs: list[tuple[int, int]] | np.ndarray, num: int, den: int, block: int = 1 << 15, seen: Counter | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Dual traversal of pairs of trees (a tree with itself gives each pair once): places of sets that the bounds don't rule out.
+
+    seen counts the pairs of nodes that are visited and pruned above the leaves, and pairs of leaves likewise.
+    """
+    at = np.asarray(pairs, np.int64).reshape(-1, 2)
+    top = len(forest.levels) - 1
+    stack = [(top, at[:, 0], at[:, 1])]  # one node a tree there, in order of their numbers
     while stack:
         level, i, j = stack.pop()
-        if len(i) > block:
-            for cut in range(0, len(i), block):
-                stack.append((level, i[cut : cut + block], j[cut : cut + block]))
-            continue
-        good = may_link(at(left, level), i, at(right, level), j, num, den)
-        if level == 0 and same:
-            good &= i < j
+        for cut in range(block, len(i), block):
+            stack.append((level, i[cut : cut + block], j[cut : cut + block]))
+        i, j = i[:block], j[:block]
+        x = forest.levels[level]
+        good = may_link(x, i, j, num, den)
+        if level == 0:
+            good &= i != j
+        if seen is not None:
+            kind = "leaves" if level == 0 else "nodes"
+            seen[kind, "visited"] += len(i)
+            seen[kind, "pruned"] += len(i) - int(good.sum())
         i, j = i[good], j[good]
         if not len(i):
             continue
         if level == 0:
-            yield left.order[i], right.order[j]
+            yield forest.order[i], forest.order[j]
             continue
-        i, j = _children(left, level, i, j)
-        j, i = _children(right, level, j, i)
-        if same:
-            keep = i <= j
-            i, j = i[keep], j[keep]
-        stack.append((level - 1, i, j))
-
-
-def _children(tree: Tree, level: int, mine: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Replaces nodes of a level by their children, repeating the other side; a tree without that level stays at its root."""
-    if level >= len(tree.levels):
-        return mine, other
-    below = len(tree.levels[level - 1][1])
-    kids = mine[:, None] * FANOUT + np.arange(FANOUT)
-    good = kids < below
-    return kids[good], np.repeat(other, good.sum(axis=1))
+        i, j = _children(x, i, j)
+        j, i = _children(x, j, i)
+        below = forest.levels[level - 1].tree
+        keep = (below[i] != below[j]) | (i <= j)
+        stack.append((level - 1, i[keep], j[keep]))
+
+
+def _children(x: Level, mine: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Replaces nodes by their children, repeating the other side."""
+    n = x.child[mine + 1] - x.child[mine]
+    first = np.cumsum(n) - n
+    kids = np.arange(int(n.sum())) - np.repeat(first, n) + np.repeat(x.child[mine], n)
+    return kids, np.repeat(other, n)

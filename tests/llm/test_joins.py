@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -87,25 +88,54 @@ def test_large_meetings_are_cut_into_chunks(spark, monkeypatch):
     check(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts)
 
 
-def test_tree_finds_all_linked_pairs():
+def test_rows_that_repeat_a_doc_id_link_by_their_own_texts(spark):
+    one, two = (" ".join(f"{p}{i}" for i in range(40)) for p in "xy")
+    rows = [(1, one), (1, two), (2, one + " tail"), (3, two + " tail"), (4, one), (1, one), (5, "some text of its own here"), (5, two), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"]) for r in ngram_join.join_components(docs).collect())
+    assert got == [(0, None), (1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (5, 5)]
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in ngram_join.deduplicate(docs).collect())
+    # of each component one row: of x and y, which doc_id 1 has both of, the first by fingerprint
+    assert len(kept) == 3 and kept[0] == (0, one) and kept[1][0] == 1 and kept[2] == (5, "some text of its own here")
+
+
+def members(sets, keys, comps):
+    """Rows of tasks: each set in the tree of each of its keys."""
+    built = [signature_tree.bitmap(s) for s in sets]
+    rows = sorted((k, i) for i, own in enumerate(keys) for k in own)
+    pick = np.array([i for _, i in rows])
+    column = lambda v: np.array(v, np.int64)
+    return {"key": column([k for k, _ in rows]), "i": column([0] * len(rows)), "j": column([0] * len(rows)), "side": column([0] * len(rows)), "number": pick, "comp": column(comps)[pick], "n": column([len(s) for s in sets])[pick], "extra": column([e for _, e in built])[pick], "bits": np.stack([b for b, _ in built])[pick]}
+
+
+def test_trees_find_all_linked_pairs_and_prune():
     rng = np.random.default_rng(3)
     sets = []
-    for _ in range(40):
+    for _ in range(60):
         core = rng.integers(0, 1 << 62, rng.integers(5, 200)).astype(np.uint64)
         for _ in range(4):
             keep = core[rng.random(len(core)) < 0.95]
             sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 62, rng.integers(0, 8)).astype(np.uint64)])))
-    offsets = np.cumsum([0, *map(len, sets)])
-    bits, extra = signature_tree.bitmaps(np.concatenate(sets), offsets)
-    tree = signature_tree.Tree(bits, np.diff(offsets), extra)
-    got = set()
-    for i, j in signature_tree.linked_leaves(tree, tree, 3, 4):
-        got |= {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())}
     linked = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 4 * len(np.intersect1d(sets[a], sets[b])) >= 3 * len(np.union1d(sets[a], sets[b]))}
+    seen = Counter()
+    got = set(map(tuple, ngram_join.candidates(members(sets, [(0, i % 7) if i % 5 else (0,) for i in range(len(sets))], range(len(sets))), seen).T.tolist()))
     assert linked <= got and len(got) < len(sets) ** 2 // 8
-    for s, (o, e) in zip(sets[:5], zip(bits[:5], extra[:5])):
-        one, x = signature_tree.bitmap(s)
-        assert (one == o).all() and x == e
+    assert seen["nodes", "visited"] > seen["nodes", "pruned"] > 0 and seen["leaves", "pruned"] > 0
+    # sets of one component are left out above the leaves
+    seen = Counter()
+    same = ngram_join.candidates(members(sets, [(0,)] * len(sets), [0] * len(sets)), seen)
+    assert same.shape[1] == 0 and seen == Counter({("nodes", "visited"): 1, ("nodes", "pruned"): 1})
+
+
+def test_the_join_takes_its_links_from_trees(spark, monkeypatch):
+    """Without the pairs that the traversal gives, nothing but equal sets is linked."""
+    base = [f"w{i}" for i in range(80)]
+    texts = {i: " ".join([*base[:i], "odd", *base[i + 1 :]]) for i in range(8)} | {100: " ".join([*base[:0], "odd", *base[1:]])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["component_id"] for r in ngram_join.join_components(docs).collect()} == {0}
+    monkeypatch.setattr(ngram_join, "_traversed", lambda members, sets: spark.createDataFrame([], "a long, b long"))
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.join_components(docs).collect()} == {**{i: i for i in range(8)}, 100: 0}
+
 
 
 def test_shingles_of_very_long_and_odd_texts(texts):
