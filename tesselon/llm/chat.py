@@ -91,25 +91,25 @@ def format_conversations(messages: DataFrame, loss_role: str = "assistant") -> D
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Turns (role, text, loss) recovered from `formatted` and `loss_mask` alone, as one array a conversation."""
+    """Recovered from `formatted` and `loss_mask` alone, one row a conversation: `read`, its turns (role, text), and `loss`, the texts at the mask's places."""
     blocks = F.split(F.col("formatted"), F.lit(END))
     blocks = F.slice(blocks, 1, F.size(blocks) - 1)
 
-    def turn(block: Column, i: Column) -> Column:
-        span = F.get(F.col("loss_mask"), i)
+    def turn(block: Column) -> Column:
         return F.struct(
             unescape(F.substring_index(F.substr(block, F.lit(len(HEAD) + 1)), ":\n", 1), ROLE_ESCAPES).alias("role"),
             unescape(F.substr(block, F.instr(block, ":\n") + 2)).alias("text"),
-            (span["end"] > span["start"]).alias("loss"),
         )
 
-    return formatted.withColumn("read", F.transform(blocks, turn))
+    under = F.filter("loss_mask", lambda s: s["end"] > s["start"])
+    cut = F.transform(under, lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
+    return formatted.withColumn("read", F.transform(blocks, turn)).withColumn("loss", cut)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     read = read_back(formatted)
     told = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("read", lambda t: t["loss"]), lambda t: t["text"]), "")
+    loss = F.array_join("loss", "")
     return read.select(
         "conv_id",
         F.size("read").cast("long").alias("n_turns"),

@@ -8,9 +8,12 @@ the least edit distance of the whole item to any part of the text there. So no o
 Items are a stated query set; they are taken in blocks of at most BLOCK_CHARS, each block a pass over the texts, so
 neither the driver nor a task holds more than one block.
 
-Defined cases: null and empty texts match nothing; items of fewer than `min_chars` characters (after normalising), null
-ones included, are not sought, as they'd occur by chance; equal items share the work and each get their rows; rows
-that repeat a doc_id each get theirs; no texts or no items give no matches, and filtering then keeps everything;
+An item of fewer than `min_chars` characters has no budget and counts where it stands as whole words: with edits, or
+inside a word, it would occur by chance.
+
+Defined cases: null and empty texts match nothing, nor do null and blank items; equal items share the work and each get their rows; rows
+that repeat a doc_id each get theirs; a text of any length is passed over once, and windows around its hits only are
+compared; no texts or no items give no matches, and filtering then keeps everything;
 other columns pass through `decontaminate`.
 """
 
@@ -72,8 +75,9 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
 class Matcher:
     """All items of a block; built once a worker."""
 
-    def __init__(self, items: list[str], rate: float):
-        self.items, self.budget = items, [int(rate * len(t)) for t in items]
+    def __init__(self, items: list[str], rate: float, min_chars: int):
+        self.items, self.budget = items, [int(rate * len(t)) if len(t) >= min_chars else 0 for t in items]
+        self.whole = [len(t) < min_chars for t in items]
         self.auto = ahocorasick.Automaton()
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for i, t in enumerate(items):
@@ -92,7 +96,9 @@ class Matcher:
         spots: dict[int, list[int]] = defaultdict(list)
         for end, (n, places) in self.auto.iter(text):
             for item, at in places:
-                spots[item].append(end + 1 - n - at)
+                start = end + 1 - n - at
+                if not self.whole[item] or not (text[start - 1 : start].isalnum() or text[end + 1 : end + 2].isalnum()):
+                    spots[item].append(start)
         out = []
         for item, starts in spots.items():
             m, k = len(self.items[item]), self.budget[item]
@@ -125,22 +131,22 @@ def _windows(starts: list[int], m: int, k: int, n: int) -> Iterator[tuple[int, i
 _matchers: dict = {}
 
 
-def _matcher(sent, rate: float) -> Matcher:
+def _matcher(sent, rate: float, min_chars: int) -> Matcher:
     """The matcher of a broadcast (name, items), kept while the worker sees the same name."""
     name, items = sent.value
     if name not in _matchers:
         _matchers.clear()
-        _matchers[name] = Matcher(items, rate)
+        _matchers[name] = Matcher(items, rate, min_chars)
     return _matchers[name]
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, min_chars: int) -> Iterator[dict[str, list[int]]]:
+def item_blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[dict[str, list[int]]]:
     """Normalised item texts and their ids, a bounded block at a time."""
     block: dict[str, list[int]] = defaultdict(list)
     size = 0
     for r in benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("text IS NOT NULL").orderBy("text", "item_id").toLocalIterator():
         t = normalise(r["text"])
-        if len(t) < min_chars:
+        if not t:
             continue
         if size > BLOCK_CHARS and t not in block:
             yield block
@@ -158,11 +164,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, distance int, budget int, end_char long"
     out = None
-    for block in item_blocks(benchmark, item_id, item_text, min_chars):
+    for block in item_blocks(benchmark, item_id, item_text):
         sent, ids = spark.sparkContext.broadcast((uuid.uuid4().hex, list(block))), list(block.values())
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, ids=ids) -> Iterator[pa.RecordBatch]:
-            own = _matcher(sent, rate)
+            own = _matcher(sent, rate, min_chars)
             for batch in batches:
                 found = []
                 for doc, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -180,15 +186,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs in which no item occurs within its budget, in docs' own columns; each row is judged where it lies."""
     spark = docs.sparkSession
-    for block in item_blocks(benchmark, item_id, item_text, min_chars):
+    for block in item_blocks(benchmark, item_id, item_text):
         sent = spark.sparkContext.broadcast((uuid.uuid4().hex, list(block)))
-        docs = docs.where(_clean_udf(sent, rate)(F.col(text)))
+        docs = docs.where(_clean_udf(sent, rate, min_chars)(F.col(text)))
     return docs
 
 
-def _clean_udf(sent, rate: float):
+def _clean_udf(sent, rate: float, min_chars: int):
     def clean(texts: pd.Series) -> pd.Series:
-        own = _matcher(sent, rate)
+        own = _matcher(sent, rate, min_chars)
         return pd.Series([not (t and own.find(t)) for t in texts], dtype=bool)
 
     return F.pandas_udf(clean, "boolean")

@@ -28,21 +28,65 @@ from tesselon.llm.common import lower_ascii, runs, slices, utf8, word_hashes
 #: Base phrases and their labels, fixed by the contract.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Templates of common notices and license openings: (label, markup).
+#: The wordings of whole licenses and of the usual notices, from their published texts. (label, markup).
+_MIT = (
+    "[[the]] [[mit license]] [[copyright <<12>>]] permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+    "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+    "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included "
+    "in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+    "merchantability fitness for a particular purpose and noninfringement in no event shall <<6>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise "
+    "arising from out of or in connection with the software or the use or other dealings in the software"
+)
+_BSD_HEAD = (
+    "[[copyright <<12>>]] redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code "
+    "must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions "
+    "and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+_BSD_NAMES = "[[3]] neither the name of <<8>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_TAIL = (
+    "this software is provided by <<8>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are "
+    "disclaimed in no event shall <<8>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services "
+    "loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way "
+    "out of the use of this software even if advised of the possibility of such damage"
+)
+_ISC = (
+    "[[copyright <<12>>]] permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission "
+    "notice appear in all copies the software is provided as is and <<6>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no "
+    "event shall <<6>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract "
+    "negligence or other tortious action arising out of or in connection with the use or performance of this software"
+)
+_APACHE = (
+    "[[copyright <<12>>]] licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+    "[[http]] [[https]] www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without "
+    "warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"
+)
+_GPL = (
+    "this <<3>> is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {} of the license "
+    "or [[at your option]] any later version [[this <<3>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a "
+    "particular purpose see the gnu general public license for more details [[you should have received a copy of the gnu general public license along with this <<3>>]]]]"
+)
+_GPL_LINE = "[[licensed]] [[under the [[terms of the]]]] gnu general public license [[as published by the free software foundation either]] version {} [[of the license]]"
 TEMPLATES = (
+    ("mit", _MIT),
     ("mit", "[[this <<3>> is]] [[released]] [[licensed]] [[distributed]] under the [[terms of the]] mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this <<3>> and associated documentation files [[the <<2>>]] to deal in the <<2>> without restriction"),
-    ("apache-2", "licensed under the apache license [[version]] 2 [[0]] [[the license]]"),
+    ("bsd-3", f"{_BSD_HEAD} {_BSD_NAMES} {_BSD_TAIL}"),
+    ("bsd-2", f"{_BSD_HEAD} {_BSD_TAIL}"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("gpl-2", "[[licensed]] [[under the [[terms of the]]]] gnu general public license [[as published by the free software foundation either]] version 2 [[of the license]]"),
-    ("gpl-3", "[[licensed]] [[under the [[terms of the]]]] gnu general public license [[as published by the free software foundation either]] version 3 [[of the license]]"),
+    ("isc", _ISC),
+    ("apache-2", _APACHE),
+    ("apache-2", "licensed under the apache license [[version]] 2 [[0]] [[the license]]"),
+    ("gpl-2", _GPL.format(2)),
+    ("gpl-3", _GPL.format(3)),
+    ("gpl-2", _GPL_LINE.format(2)),
+    ("gpl-3", _GPL_LINE.format(3)),
     ("lgpl", "gnu lesser general public license [[version <<2>>]]"),
     ("agpl-3", "gnu affero general public license [[version]] 3"),
-    ("mpl-2", "subject to the terms of the mozilla public license [[v]] [[version]] 2 0"),
+    ("mpl-2", "[[this source code form is]] subject to the terms of the mozilla public license [[v]] [[version]] 2 0 [[if a copy of the mpl was not distributed with this file you can obtain one at <<5>>]]"),
     ("cc-by-nc", "[[licensed under]] [[a]] [[creative commons]] cc by nc 4 0 [[international]]"),
     ("cc-by-sa", "[[licensed under]] [[a]] [[creative commons]] cc by sa <<2>>"),
     ("cc0", "[[creative commons]] cc0 1 0 [[universal]]"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "this is free and unencumbered software released into the public domain [[anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means]]"),
 )
 
 _GOOD = np.zeros(256, bool)

@@ -1,15 +1,18 @@
 """Quality rules with a robust multivariate outlier test, in DataFrame functions alone.
 
-Base statistics of every whole text are followed by minimum covariance determinant estimates per (language, source):
-transformed statistic vectors, a start from medians and scaled absolute deviations, then concentration steps, each
-taking the mean and covariance of the half-plus share of vectors nearest to the last estimate. Every group's estimate
-is shrunk towards its language's, and that towards all documents': with n documents its own weighs n / (n + min_group).
+Base statistics of every whole text are followed by minimum covariance determinant estimates per (language, source) of
+their transformed vectors. From STARTS starts (medians with scaled absolute deviations, and the moments of shares of the
+vectors that hashes choose), concentration steps take the mean and covariance of the SHARE of vectors nearest to the last
+estimate, until no determinant falls any more; of a group's results the one of least determinant stays, made consistent
+with normal vectors. Every group's estimate is shrunk towards its language's, and that towards all documents': with n
+documents its own weighs n / (n + min_group).
+
 A document is rejected if its squared Mahalanobis distance exceeds the chi-square quantile, times its group's median
 distance (of all its documents, shrunk alike) over the chi-square median where that is more than 1: the floors below
-make distances smaller on purpose, so a lower median doesn't lower the cutoff.
+make distances smaller on purpose, so a lower median doesn't lower the cutoff. A distance at the cutoff passes.
 
 All estimates are grouped aggregates of five-number vectors (sums and approximate quantiles), so a group of any size is
-aggregated map-side; the text is read once and only the vectors are kept.
+aggregated map-side; the text is read once and only the vectors are kept. Nothing but one number a step reaches the driver.
 
 Defined cases: null text has no words and fails the base rules; null language or source is a group of its own; fewer
 vectors than dimensions, or statistics without spread, give variances no smaller than the floor, which rejects nothing
@@ -21,15 +24,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.llm.common import BROADCAST_BYTES, SPACES, Scratch
+from tesselon.llm.common import BROADCAST_BYTES, SPACES, Scratch, small
 
 #: Chi-square 1 - 1e-9 quantile and median, five degrees of freedom.
-CUTOFF, MEDIAN = 49.9, 4.351
+CUTOFF, MEDIAN = 50.69, 4.351
 DIMENSIONS = ("length", "word_length", "symbols", "repeated", "dup_lines")
 #: Least standard deviation of each transformed statistic. Of the repeats, half the step that one repeated window makes in
 #: a text of 150 words (sqrt(6 / 150) / 2), and that one repeated line makes (log(2) / 2): one line of boilerplate is no outlier.
 FLOORS = (0.25, 0.10, 0.03, 0.10, 0.35)
-STEPS, SHARE, MIN_GROUP = 3, 0.75, 200
+SHARE, MIN_GROUP = 0.75, 200
+#: SHARE over the chi-square distribution function of seven degrees at the SHARE quantile of five (0.5311): by so much is
+#: the covariance of the nearest share of normal vectors less than that of all.
+CONSISTENCY = 0.75 / 0.5311
+#: Starts a group; steps at most, and the fall of a
+#: determinant's logarithm that is none (quantiles are approximate, to a thousandth of a rank).
+STARTS, STEPS, FALL = 3, 12, 1e-2
 
 
 def _let(value: Column, use):
@@ -144,33 +153,52 @@ def _sent(frame: DataFrame, groups: int) -> DataFrame:
     return F.broadcast(frame) if groups * _MODEL_BYTES <= BROADCAST_BYTES else frame
 
 
-def fit(vectors: DataFrame, scratch: Scratch, groups: int, steps: int = STEPS, share: float = SHARE) -> DataFrame:
-    """One row a group g: the robust mean m_i and covariance v_i_j. vectors: (g, x_0...), best on disk; groups: how many.
+_V = [f"v_{i}_{j}" for i, j in _PAIRS]
+_X = [f"x_{i}" for i in _K]
 
-    The inputs of a group are only aggregated: approximate medians, then sums over the nearest `share` of its vectors.
-    """
-    scale = 1.4826
-    middle = vectors.groupBy("g").agg(*[F.percentile_approx(f"x_{i}", 0.5, 1000).alias(f"m_{i}") for i in _K])
+
+def _floored(moments: DataFrame, *keys: str) -> DataFrame:
+    """Means and covariances with variances no less than the floors, the whitening, and the logarithm of the determinant."""
+    cov = [F.greatest(F.coalesce(f"v_{i}_{i}", F.lit(0.0)), F.lit(FLOORS[i] ** 2)) if i == j else F.coalesce(f"v_{i}_{j}", F.lit(0.0)) for i, j in _PAIRS]
+    whole = _whitened(moments.select(*keys, *[f"m_{i}" for i in _K], *[c.alias(n) for c, n in zip(cov, _V)]))
+    logdet = sum((-2 * F.log(f"l_{i}_{i}") for i in range(1, len(DIMENSIONS))), -2 * F.log("l_0_0"))
+    return whole.select(*keys, *_MOMENTS, *[m for m in _MODEL if m.startswith("l_")], logdet.alias("logdet"))
+
+
+def _moments() -> list[Column]:
+    return [*[F.avg(x).alias(f"m_{i}") for i, x in enumerate(_X)], *[F.covar_pop(f"x_{i}", f"x_{j}").alias(n) for (i, j), n in zip(_PAIRS, _V)]]
+
+
+def _starts(vectors: DataFrame, groups: int) -> DataFrame:
+    """(g, start, moments): medians with scaled absolute deviations, and the moments of STARTS - 1 quarters of a group, by hashes of the vectors."""
+    middle = vectors.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m_{i}") for i, x in enumerate(_X)])
     off = vectors.join(_sent(middle, groups), "g")
-    spread = off.groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(f"x_{i}") - F.col(f"m_{i}")), 0.5, 1000).alias(f"s_{i}") for i in _K])
-    model = middle.join(spread, "g")
-    zero = F.lit(0.0)
-    start = [F.greatest(F.pow(F.col(f"s_{i}") * scale, 2), F.lit(FLOORS[i] ** 2)) if i == j else zero for i, j in _PAIRS]
-    moments = scratch.write(model.select("g", *[f"m_{i}" for i in _K], *[c.alias(f"v_{i}_{j}") for c, (i, j) in zip(start, _PAIRS)]), "moments0")
-    for step in range(1, steps + 1):
-        model = _whitened(moments).select("g", *_MODEL)
-        far = vectors.join(_sent(model, groups), "g").select("g", *[f"x_{i}" for i in _K], _model_distance().alias("d"))
-        near = far.groupBy("g").agg(F.percentile_approx("d", share, 1000).alias("limit"))
-        kept = far.join(_sent(near, groups), "g").where("d <= limit")
-        sums = kept.groupBy("g").agg(
-            *[F.avg(f"x_{i}").alias(f"m_{i}") for i in _K],
-            *[F.covar_pop(f"x_{i}", f"x_{j}").alias(f"v_{i}_{j}") for i, j in _PAIRS],
-        )
-        # the nearest three quarters of a five-dimensional normal have this much less variance than all of it
-        widen = 1.0 / 0.61
-        cov = [F.greatest(F.col(f"v_{i}_{i}") * widen, F.lit(FLOORS[i] ** 2)) if i == j else F.col(f"v_{i}_{j}") * widen for i, j in _PAIRS]
-        moments = scratch.write(sums.select("g", *[f"m_{i}" for i in _K], *[c.alias(f"v_{i}_{j}") for c, (i, j) in zip(cov, _PAIRS)]), f"moments{step}")
-    return moments
+    spread = off.groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 1000).alias(f"s_{i}") for i, x in enumerate(_X)])
+    first = [(F.pow(F.col(f"s_{i}") * 1.4826, 2) if i == j else F.lit(0.0)).alias(n) for (i, j), n in zip(_PAIRS, _V)]
+    robust = middle.join(_sent(spread, groups), "g").select("g", F.lit(0).alias("start"), *[f"m_{i}" for i in _K], *first)
+    some = vectors.withColumn("start", (F.pmod(F.xxhash64(*_X), F.lit(4)) + 1).cast("int")).where(F.col("start") < STARTS)
+    return robust.unionByName(some.groupBy("g", "start").agg(*_moments()))
+
+
+def fit(vectors: DataFrame, scratch: Scratch, groups: int, share: float = SHARE, consistency: float = CONSISTENCY) -> DataFrame:
+    """One row a group g: the mean m_i and covariance v_i_j of least determinant, and its logdet. vectors: (g, x_0...), best on disk; groups: how many.
+
+    The inputs of a group are only aggregated: approximate quantiles of distances, then sums over the nearest `share`.
+    """
+    model = scratch.write(_floored(_starts(vectors, groups), "g", "start"), "step0")
+    for step in range(1, STEPS + 1):
+        far = vectors.join(_sent(model, STARTS * groups), "g").select("g", "start", *_X, _model_distance().alias("d"))
+        near = far.groupBy("g", "start").agg(F.percentile_approx("d", share, 1000).alias("limit"))
+        kept = far.join(_sent(near, STARTS * groups), ["g", "start"]).where("d <= limit")
+        new = scratch.write(_floored(kept.groupBy("g", "start").agg(*_moments()), "g", "start"), f"step{step}")
+        # a start's moments are of other vectors than a step's, so the first fall says nothing
+        fell = new.select("g", "start", "logdet").join(model.select("g", "start", F.col("logdet").alias("old")), ["g", "start"]).agg(F.max(F.col("old") - F.col("logdet"))).first()[0]
+        model = new
+        if fell is None or step > 2 and fell <= FALL:
+            break
+    best = model.groupBy("g").agg(F.min_by(F.struct(*_MOMENTS, "logdet"), F.struct("logdet", "start")).alias("b")).select("g", "b.*")
+    wider = [F.greatest(F.col(f"v_{i}_{i}") * consistency, F.lit(FLOORS[i] ** 2)) if i == j else F.col(f"v_{i}_{j}") * consistency for i, j in _PAIRS]
+    return scratch.write(best.select("g", *[f"m_{i}" for i in _K], *[c.alias(n) for c, n in zip(wider, _V)], "logdet"), "moments")
 
 
 def _whitened(moments: DataFrame) -> DataFrame:
@@ -231,12 +259,10 @@ def quality_report(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN
     return _judge(flat, scratch, cutoff, min_group).select("doc_id", *BASE, "base_failed", "kept", "distance")
 
 
-
-
 def _judge(flat: DataFrame, scratch: Scratch, cutoff: float, min_group: int) -> DataFrame:
     vectors = flat.select("*", *[v.alias(f"x_{i}") for i, v in enumerate(_vector())])
     fitted = models(vectors.where("NOT base_failed").select("g1", "g2", "g3", *[f"x_{i}" for i in _K]), scratch, min_group)
-    judged = vectors.join(fitted, "g1", "left").withColumn("distance", F.when(~F.col("base_failed"), _model_distance()))
+    judged = vectors.join(small(fitted, _MODEL_BYTES), "g1", "left").withColumn("distance", F.when(~F.col("base_failed"), _model_distance()))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance") / F.col("scale"), F.lit(0.0)) <= cutoff))
 
 

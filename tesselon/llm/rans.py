@@ -26,12 +26,13 @@ class Table:
     freq: np.ndarray
     start: np.ndarray
     slot: np.ndarray
+    crc: int
 
     @classmethod
     def of(cls, freq: np.ndarray) -> Table:
         freq = np.asarray(freq, np.uint64)
         start = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
-        return cls(freq, start, np.repeat(np.arange(len(freq), dtype=np.uint32), freq.astype(np.int64)))
+        return cls(freq, start, np.repeat(np.arange(len(freq), dtype=np.uint32), freq.astype(np.int64)), zlib.crc32(freq.astype("<u8").tobytes()))
 
     @classmethod
     def from_counts(cls, counts: np.ndarray, scale: int = SCALE) -> Table:
@@ -51,7 +52,11 @@ class Block:
     words: bytes
     states: bytes  # of each checkpoint: LANES states
     at: list[int]  # words before each checkpoint
-    crc: int  # of words and states
+    crc: int  # of all of it and of the frequency table
+
+
+def _crc(n: int, words: bytes, states: bytes, at: list[int], table: Table) -> int:
+    return zlib.crc32(np.array([n, table.crc, *at], "<i8").tobytes(), zlib.crc32(states, zlib.crc32(words)))
 
 
 def encode(blocks: list[np.ndarray], table: Table) -> list[Block]:
@@ -90,7 +95,8 @@ def encode(blocks: list[np.ndarray], table: Table) -> list[Block]:
         places = range(0, max(steps[k], 1), CHECKPOINT)
         payload = words[: steps[k], lanes][mine].tobytes()
         states = b"".join(marks[t][lanes].tobytes() for t in places)
-        out.append(Block(len(b), payload, states, [int(per_step[t]) for t in places], zlib.crc32(states, zlib.crc32(payload))))
+        at = [int(per_step[t]) for t in places]
+        out.append(Block(len(b), payload, states, at, _crc(len(b), payload, states, at, table)))
     return out
 
 
@@ -98,7 +104,7 @@ def decode(blocks: list[Block], table: Table) -> list[np.ndarray]:
     """The ids of each block; every checkpoint of every block is decoded as a lane group of its own."""
     jobs = []
     for k, b in enumerate(blocks):
-        if zlib.crc32(b.states, zlib.crc32(b.words)) != b.crc:
+        if _crc(b.n, b.words, b.states, b.at, table) != b.crc:
             raise ValueError(f"block {k}: the checksum doesn't match")
         states = np.frombuffer(b.states, np.uint64).reshape(-1, LANES)
         for c, at in enumerate(b.at):

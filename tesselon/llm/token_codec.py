@@ -12,7 +12,7 @@ Documents are range-partitioned by doc_id, so parts are in order and no task hol
 place is a prefix sum over parts.
 
 Defined cases: null text is the end id alone; null doc_ids come first; rows that repeat a doc_id follow one another,
-in the order of their texts; one document is one block at most, however long; an empty table gives a dataset without
+in the order of their texts' hashes; one document is one block at most, however long; an empty table gives a dataset without
 blocks; other columns are ignored.
 """
 
@@ -31,6 +31,8 @@ from tesselon.llm.common import Scratch, n_partitions
 from tesselon.llm.pretokens import worker
 
 BLOCK_IDS = 1 << 16
+#: Bytes of text of a part.
+PART_BYTES = 32 << 20
 #: Blocks coded together.
 TOGETHER_IDS = 1 << 20
 
@@ -107,6 +109,23 @@ def _code(table):
     return run
 
 
+def _directory_crc(crc: int, doc_ids: list, counts: list[int]) -> int:
+    """A block's checksum with its directory."""
+    return zlib.crc32(repr(doc_ids).encode(), zlib.crc32(np.array(counts, "<i8").tobytes(), crc))
+
+
+def _coded(batch: pa.RecordBatch, table: rans.Table) -> tuple[list[rans.Block], list, list]:
+    """The blocks of a batch, their doc_ids and counts, each directory held against the checksum."""
+    n, words, states, at, crc, docs, counts = (batch.column(c).to_pylist() for c in ("n_ids", "words", "states", "at", "crc", "doc_ids", "counts"))
+    blocks = []
+    for b, d, c, k in zip(zip(n, words, states, at), docs, counts, crc):
+        own = rans._crc(*b, table)
+        if _directory_crc(own, d, c) != k or sum(c) != b[0]:
+            raise ValueError("a block doesn't match its checksum")
+        blocks.append(rans.Block(*b, own))
+    return blocks, docs, counts
+
+
 def _rows(waiting: list, table: rans.Table, kind: pa.DataType) -> pa.RecordBatch:
     coded = rans.encode([w[4] for w in waiting], table)
     columns = [
@@ -118,7 +137,7 @@ def _rows(waiting: list, table: rans.Table, kind: pa.DataType) -> pa.RecordBatch
         pa.array([b.words for b in coded], pa.binary()),
         pa.array([b.states for b in coded], pa.binary()),
         pa.array([b.at for b in coded], pa.list_(pa.int64())),
-        pa.array([b.crc for b in coded], pa.int64()),
+        pa.array([_directory_crc(b.crc, w[2], w[3]) for b, w in zip(coded, waiting)], pa.int64()),
     ]
     return pa.RecordBatch.from_arrays(columns, names=["part", "block", "doc_ids", "counts", "n_ids", "words", "states", "at", "crc"])
 
@@ -129,8 +148,9 @@ def write_dataset(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, t
     scratch = Scratch(spark, "ids")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    parts = n_partitions(spark, 0, 1)
-    ordered = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    parts = n_partitions(spark, rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, PART_BYTES)
+    keyed = rows.withColumn("_order", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange(parts, "doc_id", "_order").sortWithinPartitions("doc_id", "_order", "text").drop("_order").withColumn("part", F.spark_partition_id())
     ids = ordered.mapInArrow(_ids(tokenizer, end_id), f"part int, seq long, doc_id {kind}, n long, ids binary")
     ids = scratch.write(ids, "ids", "none")
     size = max(worker(tokenizer).tok.get_vocab_size(), end_id + 1)
@@ -151,12 +171,9 @@ def write_dataset(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, t
 def _decode(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = lambda c: batch.column(c).to_pylist()
-            coded = [rans.Block(*x) for x in zip(col("n_ids"), col("words"), col("states"), col("at"), col("crc"))]
+            coded, doc_ids, lengths = _coded(batch, table.value)
             doc, start, n, crc = [], [], [], []
-            for ids, docs, counts, at in zip(rans.decode(coded, table.value), col("doc_ids"), col("counts"), col("start")):
-                if sum(counts) != len(ids):
-                    raise ValueError("a block's directory doesn't match its ids")
+            for ids, docs, counts, at in zip(rans.decode(coded, table.value), doc_ids, lengths, batch.column("start").to_pylist()):
                 raw = memoryview(ids.astype("<u4").tobytes())
                 lo = 0
                 for d, k in zip(docs, counts):
@@ -193,10 +210,9 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
 def _decode_ids(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = lambda c: batch.column(c).to_pylist()
-            coded = [rans.Block(*x) for x in zip(col("n_ids"), col("words"), col("states"), col("at"), col("crc"))]
+            coded, doc_ids, lengths = _coded(batch, table.value)
             doc, out = [], []
-            for ids, docs, counts in zip(rans.decode(coded, table.value), col("doc_ids"), col("counts")):
+            for ids, docs, counts in zip(rans.decode(coded, table.value), doc_ids, lengths):
                 doc += docs
                 out += np.split(ids, np.cumsum(counts)[:-1])
             kind = batch.schema.field("doc_ids").type.value_type

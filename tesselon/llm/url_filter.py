@@ -10,7 +10,8 @@ it passes more false positives to the join and gives the same verdicts.
 
 Defined cases: null URLs and URLs without `://` have empty host and path and fit no entry; repeated page rows each
 get their verdict; two entries with one key count once, `block` before `allow`; no pages or no entries give every page
-(or none) the default verdict; further columns are ignored.
+(or none) the default verdict; entries' hosts are taken in lower case; a URL of any length is split and probed whole, as
+many keys as its host has parts times the entries' path lengths; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesselon.llm.common import BROADCAST_BYTES
+
 #: Entries of the production query: (host, path, action).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SALTS = 64
 BITS_PER_KEY, PROBES, BLOCK, MAX_BITS = 16, 7, 512, 1 << 28
 
 
@@ -84,9 +89,8 @@ def possible(host: str, path: str, lengths: Sequence[int]) -> list[str]:
     return [h + p for h in hosts for p in prefixes if h]
 
 
-def build_filter(entries: DataFrame) -> BlockedBloom:
-    """The filter of all keys; tasks build filters of equal size, executors merge them by blocks."""
-    n = entries.count()
+def build_filter(entries: DataFrame, n: int) -> BlockedBloom:
+    """The filter of all n keys; tasks build filters of equal size, executors merge them by blocks."""
     n_blocks = max(1, min(MAX_BITS, n * BITS_PER_KEY) // BLOCK)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,10 +114,11 @@ def build_filter(entries: DataFrame) -> BlockedBloom:
 def filter_urls(pages: DataFrame, entries: DataFrame, default: str = "allow", page_id: str = "page_id", url: str = "url") -> DataFrame:
     """Per page: page_id, host, path, rule (the winning entry's host and path, or null), verdict, n_candidates (keys that passed the filter)."""
     spark = pages.sparkSession
-    keyed = entries.select(F.concat("host", "path").alias("key"), F.length("path").alias("path_length"), "action")
+    keyed = entries.select(F.concat(F.translate("host", UPPER, UPPER.lower()), "path").alias("key"), F.length("path").alias("path_length"), "action")
     keyed = keyed.groupBy("key").agg(F.max("action").alias("action"), F.max("path_length").alias("path_length"))
     lengths = sorted(r[0] for r in keyed.select("path_length").distinct().collect())  # as many as paths have lengths
-    bloom = build_filter(keyed)
+    size = keyed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0)).alias("bytes")).first()
+    bloom = build_filter(keyed, size["n"])
     sent = spark.sparkContext.broadcast(bloom)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +142,12 @@ def filter_urls(pages: DataFrame, entries: DataFrame, default: str = "allow", pa
     # a page without hits keeps one row under a key of its own, which joins nothing and crowds no task
     own = F.array(F.concat(F.lit("\x00"), F.col("row").cast("string")))
     wide = probed.select("row", "page_id", "host", "path", F.size("passed").alias("n_candidates"), F.explode(F.when(F.size("passed") > 0, F.col("passed")).otherwise(own)).alias("key"))
-    hits = wide.join(keyed.select("key", "action"), "key", "left")
+    exact = keyed.select("key", "action")
+    if size["bytes"] + 64 * size["n"] <= BROADCAST_BYTES:
+        hits = wide.join(F.broadcast(exact), "key", "left")
+    else:  # a key that many pages have is dealt to SALTS tasks
+        salted = exact.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = wide.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], "left")
     best = F.max(F.when(F.col("action").isNotNull(), F.struct(F.length("key"), F.col("key"), F.col("action"))))
     judged = hits.groupBy("row", "page_id", "host", "path", "n_candidates").agg(best.alias("best"))
     return judged.select("page_id", "host", "path", F.col("best")["key"].alias("rule"), F.coalesce(F.col("best")["action"], F.lit(default)).alias("verdict"), F.col("n_candidates").cast("long").alias("n_candidates"))

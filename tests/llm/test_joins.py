@@ -205,3 +205,10 @@ def test_no_items_and_no_texts(spark, docs, empty):
     some = spark.createDataFrame([(1, "the cat number nine sat on the mat and looked away")], "item_id long, text string")
     assert decontaminate.matches(docs, none).count() == 0 and decontaminate.matches(empty, some).count() == 0
     assert decontaminate.decontaminate(docs, none).count() == docs.count()
+
+
+def test_short_items_are_sought_exactly_and_as_whole_words(spark):
+    docs = spark.createDataFrame([(1, "Well, What is 2+2? he said"), (2, "what is 2+22 then"), (3, "somewhat is 2+2"), (4, "what\nis  2+2"), (5, "x" * 200_000 + " what is 2+2"), (6, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "What is 2+2"), (2, " \n "), (3, None)], "item_id long, text string")
+    assert sorted((r["doc_id"], r["distance"]) for r in decontaminate.matches(docs, items).collect()) == [(1, 0), (4, 0), (5, 0)]
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()) == [2, 3, 6]

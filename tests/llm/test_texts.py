@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +33,17 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.format_conversations(m.limit(0))).count() == 0
 
 
+def test_the_loss_digest_reads_the_mask(spark):
+    rows = [(1, 0, "user", "ask <b>"), (1, 1, "assistant", "tell # me"), (1, 2, "assistant", "more")]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("content", chat.text_part(F.col("text")))
+    formatted = chat.format_conversations(m)
+    whole = chat.digests(formatted).first()
+    assert (whole["loss_chars"], whole["loss_sha256"]) == (13, hashlib.sha256(b"tell # memore").hexdigest())
+    moved = formatted.withColumn("loss_mask", F.transform("loss_mask", lambda s: F.struct(F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("end"))))
+    other = chat.digests(moved).first()
+    assert other["loss_sha256"] == hashlib.sha256(b"###").hexdigest() and other["turns_sha256"] == whole["turns_sha256"]
+
+
 def chat_escape(t):
     for a, b in chat.ESCAPES:
         t = t.replace(a, b)
@@ -67,6 +79,14 @@ def test_url_filter(spark):
     assert {r["page_id"] for r in url_filter.filter_urls(more, listed).where("verdict = 'block'").collect()} == {i for i in range(0, 6000, 7) if i < 3000}
 
 
+def test_a_long_list_is_joined_by_salted_keys(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", 0)
+    pages = spark.createDataFrame([(i, f"http://x{i % 7}.com/a" if i % 3 else f"http://b.NET/es/{i}") for i in range(300)] + [(300, "http://x.com/" + "y/" * 5000)], "page_id long, url string")
+    rules = url_filter.entry_table(spark, (*url_filter.RULES, ("B.net", "/", "allow")))
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, rules).collect()}
+    assert got == {i: ("com/", "allow") if i % 3 or i == 300 else ("net/es/", "block") for i in range(301)}
+
+
 def test_bloom_has_no_false_negatives_and_few_false_positives():
     bloom = url_filter.BlockedBloom(400)
     keys = [f"k{i}" for i in range(10_000)]
@@ -80,7 +100,7 @@ def test_bloom_has_no_false_negatives_and_few_false_positives():
 
 def test_viterbi_restores_disguises(spark):
     words = "loser idiot moron stupid pathetic worthless scum trash clown the and of with for from that this have"
-    lm = toxicity.language_model(spark.createDataFrame([((words + " ") * 50,)], "text string"))
+    lm = toxicity.LanguageModel(toxicity.language_model(spark.createDataFrame([((words + " ") * 50,)], "text string"), Scratch(spark, "lm")))
     own = toxicity.Restorer(lm)
     for disguised, plain in (("l0ser", "loser"), ("1d10t", "idiot"), ("m0r0n!!", "moron"), ("stuuuupid", "stupid"), ("p@thetic,", "pathetic"), ("$cum", "scum"), ("tr.a.s.h", "trash"), ("plain", "plain")):
         assert plain in own.words(disguised), disguised
@@ -89,17 +109,26 @@ def test_viterbi_restores_disguises(spark):
 
 def test_long_disguises_are_restored_whole(spark):
     words = "worthlessness loser idiot moron stupid pathetic the and of with for from that this have you are all"
-    lm = toxicity.language_model(spark.createDataFrame([((words + " ") * 50,)], "text string"))
+    lm = toxicity.LanguageModel(toxicity.language_model(spark.createDataFrame([((words + " ") * 50,)], "text string"), Scratch(spark, "lm")))
     own = toxicity.Restorer(lm)
     sentence = " ".join("youareallpatheticandstupid" * 5 + "idiot")
     assert len(sentence) > 200 and {"pathetic", "stupid"} <= own.text("so " + sentence)
     dotted = ".".join("worthlessness")
     assert len(dotted) > 24 and "worthlessness" in own.words(dotted) and "worthlessness" in own.words("~".join("worthlessness"))
-    scorer = toxicity.Scorer(lm, {"pathetic": 5.0, "worthlessness": 4.0})
-    assert scorer.evidence(sentence) == 5.0 and scorer.evidence("~".join("worthlessness")) == 4.0
+    scorer = toxicity.Scorer(lm, {"pathetic": (5.0, True), "worthlessness": (4.0, True), "stupid": (1.0, False)})
+    assert scorer.evidence(sentence)[0] == 5.0 and scorer.evidence("~".join("worthlessness"))[0] == 4.0
     assert toxicity.viterbi("a" * 50_000, lm) in ("a", "aa") and len(toxicity.viterbi(" ".join("stupid" * 5000), lm, split=True).replace(" ", "")) == 30_000
 
 
+def test_language_model_grows_with_the_corpus_and_knows_letters_apart(spark):
+    count = lambda *texts: toxicity.language_model(spark.createDataFrame([(t,) for t in texts], "text string"), Scratch(spark, "lm"))
+    few, many = count("été était " * 3), count("été était " * 3, "größe straße " * 4, "снег идёт " * 2, None, "")
+    assert all(many[g] >= n for g, n in few.items()) and len(many) > 2 * len(few) and many["   g"] == 4 and many["öße "] == 4 and many["снег"] == 2 and many["é"] == 9
+    lm = toxicity.LanguageModel(many)
+    assert lm("  é", "t") > lm("  é", "s") and lm("   ", "g") > lm("   ", "q")
+    assert "größe" in toxicity.Restorer(lm).words("größ3") and "était" in toxicity.Restorer(lm).words("ét4it")
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(0)
     vocabulary = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randrange(3, 9))) for _ in range(800)]
@@ -191,6 +220,39 @@ def test_quality_kinds_of_outliers_and_boilerplate(spark):
     assert {i for i in got if not got[i]} == bad
 
 
+def mcd(x, steps=60, starts=40, seed=0):
+    """Brute force: the least determinant of the covariance of three quarters of the rows, by concentration steps from many random starts."""
+    rng, h, best = np.random.default_rng(seed), int(np.ceil(0.75 * len(x))), None
+    floor = np.array(quality.FLOORS) ** 2
+    for _ in range(starts):
+        pick = rng.choice(len(x), 12, replace=False)
+        for _ in range(steps):
+            m, c = x[pick].mean(0), np.cov(x[pick].T, bias=True)
+            np.fill_diagonal(c, np.maximum(np.diag(c), floor))
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            pick = np.argsort(d)[:h]
+        m, c = x[pick].mean(0), np.cov(x[pick].T, bias=True)
+        np.fill_diagonal(c, np.maximum(np.diag(c), floor))
+        det = np.linalg.slogdet(c)[1]
+        best = (det, m, c) if best is None or det < best[0] else best
+    return best
+
+
+def test_least_determinant_against_brute_force(spark):
+    rng = np.random.default_rng(7)
+    mix = rng.normal(size=(5, 5))
+    clean = {g: rng.normal(size=(300, 5)) @ mix + 10 * g for g in (0, 1)}
+    far = {0: rng.normal(size=(60, 5)) * 0.3 + 25, 1: rng.normal(size=(0, 5))}  # a tight cluster of a sixth
+    rows = {g: np.concatenate([clean[g], far[g]]) for g in clean}
+    frame = spark.createDataFrame([(str(g), *map(float, v)) for g in rows for v in rows[g]], "g string, " + ", ".join(f"x_{i} double" for i in range(5)))
+    got = {r["g"]: r for r in quality.fit(frame, Scratch(spark, "mcd"), 2).collect()}
+    for g in rows:
+        det, m, c = mcd(rows[g])
+        assert got[str(g)]["logdet"] <= det + 0.05
+        assert np.abs(np.array([got[str(g)][f"m_{i}"] for i in range(5)]) - m).max() < 0.3
+        assert all(abs(got[str(g)][f"v_{i}_{i}"] / (c[i, i] * quality.CONSISTENCY) - 1) < 0.25 for i in range(5))
+
+
 def test_quality_small_groups_lean_on_their_language(spark):
     rng = random.Random(4)
     vectors = [(f"=en\x00{'big' if i < 3000 else 'few'}", "=en", "all", *[rng.gauss(3.0 * (i >= 3000), 1.0) for _ in range(5)]) for i in range(3050)]
@@ -272,3 +334,41 @@ def test_templates():
         licenses.Automaton("[[a]]")
     with pytest.raises(ValueError):
         licenses.Automaton("[[a b")
+
+
+def pattern(markup):
+    """The template as a regular expression over words that each end in a blank."""
+    out = ""
+    for tok in re.findall(r"\[\[|\]\]|<<\d+>>|[^\s\[\]<>]+", markup):
+        out += {"[[": "(?:", "]]": ")?"}.get(tok) or (r"(?:\S+ ){0,%s}" % tok[2:-2] if tok.startswith("<<") else tok + " ")
+    return re.compile(r"(?:^|(?<= ))" + out)
+
+
+def filled(markup, rng):
+    """A text that the template accepts."""
+    words, keep = [], [True]
+    for tok in re.findall(r"\[\[|\]\]|<<\d+>>|[^\s\[\]<>]+", markup):
+        if tok == "[[":
+            keep.append(keep[-1] and rng.random() < 0.5)
+        elif tok == "]]":
+            keep.pop()
+        elif keep[-1]:
+            words += [f"any{rng.randrange(9)}" for _ in range(rng.randrange(int(tok[2:-2]) + 1))] if tok.startswith("<<") else [tok]
+    return words
+
+
+def test_templates_against_brute_force():
+    rng, scan = random.Random(8), licenses.Scanner()
+    texts = []
+    for _, markup in licenses.TEMPLATES:
+        for _ in range(3):
+            words = filled(markup, rng)
+            texts.append(["before", *words, "after"])
+            spoilt = list(words)
+            spoilt[rng.randrange(len(spoilt))] = "other"  # mandatory wording broken, or an optional region, or a replaced word
+            texts.append(spoilt)
+            texts.append(words[: rng.randrange(1, len(words) + 1)])
+    wanted = [{label for label, markup in licenses.TEMPLATES if pattern(markup).search(" ".join(w) + " ")} for w in texts]
+    assert [scan.templates_in(w)[0] for w in texts] == wanted and {"mit", "bsd-2", "bsd-3", "isc", "apache-2", "gpl-2", "gpl-3"} <= set().union(*wanted)
+    got = licenses.Scanner().scan(pa.array([" ".join(w).upper() + ", (C)" for w in texts]))
+    assert [set(r[5].split(",")) - {""} for r in got] == [w | ({"mit"} if "under the mit license" in " ".join(x) else set()) | ({"apache-2"} if "apache license version 2" in " ".join(x) else set()) | ({"cc-by-nc"} if "cc by nc" in " ".join(x) else set()) for w, x in zip(wanted, texts)]

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tesselon.llm import rans, token_codec, token_counts
@@ -65,6 +66,25 @@ def test_damaged_block_is_refused():
         rans.decode([block], table)
 
 
+def test_damaged_directories_and_tables_are_refused(spark, docs):
+    path = Scratch(spark, "t").root
+    token_codec.write_dataset(docs.limit(20), path, PATH)
+    blocks = spark.read.parquet(f"{path}/blocks")
+    for column, change in (("doc_ids", F.reverse("doc_ids")), ("counts", F.transform("counts", lambda c: c + 1)), ("at", F.transform("at", lambda c: c + 1))):
+        other = Scratch(spark, "t").root
+        for name in ("freqs", "parts"):
+            spark.read.parquet(f"{path}/{name}").write.parquet(f"{other}/{name}")
+        blocks.withColumn(column, change).write.parquet(f"{other}/blocks")
+        with pytest.raises(Exception, match="checksum"):
+            token_codec.read_digest(spark, other).collect()
+    other = Scratch(spark, "t").root
+    spark.read.parquet(f"{path}/freqs").withColumn("freq", F.col("freq") + F.when(F.col("id") == 5, 1).when(F.col("id") == 6, -1).otherwise(0)).write.parquet(f"{other}/freqs")
+    for name in ("blocks", "parts"):
+        spark.read.parquet(f"{path}/{name}").write.parquet(f"{other}/{name}")
+    with pytest.raises(Exception, match="checksum|repeat|negative"):
+        token_codec.read_digest(spark, other).collect()
+
+
 def test_dataset_round_trip(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(token_codec, "BLOCK_IDS", 500)
     path = Scratch(spark, "t").root
