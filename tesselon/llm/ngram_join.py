@@ -407,7 +407,13 @@ def link(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataF
     comps = components(edges, scratch, "stars").select(F.col("id").alias("number"), "comp")
     keys = sets.select("number", "n", "h", "df").mapInArrow(_first_shingles, "number long, key long")
     more = scratch.write(_traversed(_prefix_members(keys, comps), sets), "meetings")
-    edges = scratch.write(edges.unionByName(verified(more, sets)), "links")
+    # one candidate of each set first: most of the others are of one component then, and say nothing
+    first = more.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(more.groupBy("a").agg(F.max("b").alias("b")).select("a", "b")).distinct()
+    edges = scratch.write(edges.unionByName(verified(first, sets)), "first")
+    comps = components(edges, scratch, "first")
+    label = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"comp_{c}"))
+    apart = more.join(label("a"), "a", "left").join(label("b"), "b", "left").where("coalesce(comp_a, a) <> coalesce(comp_b, b)").select("a", "b")
+    edges = scratch.write(edges.unionByName(verified(apart, sets)), "links")
     linked = components(edges, scratch, "links").select(F.col("id").alias("number"), "comp")
     scratch.drop("sets", "near", "meetings")
     return sizes, classes, linked
