@@ -126,15 +126,14 @@ def highlight(corpus: Corpus, hits: DataFrame, name: str, node: Node, pre: str =
     The field's own analyzer says what a term is and where it lies; with char filters, the text behind them is what is marked.
     """
     ctx, analyzer = Context(corpus), corpus.analyzer(name)
-    wanted = list(dict.fromkeys(t for n, t in node.rewrite().terms(ctx) if n == name))
+    wanted = frozenset(t for n, t in node.rewrite().terms(ctx) if n == name)
 
     @F.pandas_udf("array<string>")
     def mark(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for t, found in zip(texts, spans):
-            at = sorted({(s["start"], s["end"]) for s in found})
+            at = sorted({(s["start"], s["end"]) for s in found if s["term"] in wanted})
             out.append(fragments(t, at, pre, post, fragment_size, number_of_fragments, order == "score"))
         return pd.Series(out)
 
-    asked = F.filter(analyzer.spans(F.col(name)), lambda s: s["term"].isin(wanted)) if wanted else F.array().cast("array<struct<term:string,pos:int,start:int,end:int>>")
-    return hits.withColumn("highlights", mark(analyzer.cleaned(F.col(name)), asked))
+    return hits.withColumn("highlights", mark(analyzer.cleaned(F.col(name)), analyzer.spans(F.col(name))))
