@@ -245,13 +245,18 @@ class Analyzer:
             text = f(text)
         return text
 
-    def spans(self, text: Column) -> Column:
-        """array<struct<term, pos, start, end>>: the tokens with their places in the cleaned text, in code points from 0.
+    def spans(self, df: DataFrame, name: str, clean: str, out: str) -> DataFrame:
+        """df with `clean`, the text behind the char filters, and `out`, array<struct<term, pos, start, end>>: the tokens with their places in it, in code points from 0.
 
         A token's pos is its number among the tokenizer's pieces, whatever filters follow.
         """
-        clean, toks = self.cleaned(text), self(text)
-        return _spans(clean, self.tokenizer(clean), F.lit(self.tokenizer in OVERLAPPING), F.transform(toks, lambda t: t["term"]), F.transform(toks, lambda t: t["pos"]))
+        text = F.col(name)
+        toks = self(text)
+        parts = F.struct(self.cleaned(text).alias("text"), self.tokenizer(self.cleaned(text)).alias("pieces"), F.transform(toks, lambda t: t["term"]).alias("terms"), F.transform(toks, lambda t: t["pos"]).alias("places"))
+        # a row each, exploded, as Spark doesn't evaluate Python functions over nested lambdas
+        df = df.select("*", F.explode(F.array(parts)).alias(out))
+        spans = _spans(F.col(out)["text"], F.col(out)["pieces"], F.lit(self.tokenizer in OVERLAPPING), F.col(out)["terms"], F.col(out)["places"])
+        return df.withColumns({clean: F.col(out)["text"], out: spans})
 
     def terms(self, spark, text: str) -> list[str]:
         """The terms of one query text, in order."""
@@ -263,7 +268,7 @@ class Analyzer:
 def analyze(spark, analyzer: Analyzer, text: str) -> DataFrame:
     """(term, pos, start, end) of one text."""
     row = spark.sql("SELECT * FROM VALUES (:text) AS v(text)", args={"text": text})
-    return row.select(F.inline(analyzer.spans(F.col("text"))))
+    return analyzer.spans(row, "text", "_clean", "_spans").select(F.inline("_spans"))
 
 
 ANALYZERS = {

@@ -136,4 +136,4 @@ def highlight(corpus: Corpus, hits: DataFrame, name: str, node: Node, pre: str =
             out.append(fragments(t, at, pre, post, fragment_size, number_of_fragments, order == "score"))
         return pd.Series(out)
 
-    return hits.withColumn("highlights", mark(analyzer.cleaned(F.col(name)), analyzer.spans(F.col(name))))
+    return analyzer.spans(hits, name, "_clean", "highlights").withColumn("highlights", mark(F.col("_clean"), F.col("highlights"))).drop("_clean")

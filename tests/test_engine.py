@@ -304,6 +304,7 @@ def test_highlight_by_the_fields_analyzer(spark, analyzer, text, words, want):
     corpus = Corpus(docs, Schema((Field("t", "text", analyzer="own" if own else analyzer),)), own)
     assert ranking.highlight(corpus, docs, "t", Term("t", words)).first()["highlights"] == [want]
     assert own or [tuple(r)[1:] for r in analysis.analyze(spark, analysis.ANALYZERS["standard"], "a bc").collect()] == [(0, 0, 1), (1, 2, 4)]
+    assert [tuple(r) for r in analysis.analyze(spark, analysis.custom({"tokenizer": {"type": "ngram", "min": 2, "max": 2}}), "aba").collect()] == [("ab", 0, 0, 2), ("ba", 1, 1, 3)]
 
 
 @pytest.mark.parametrize("metric", ["cosine", "dot_product", "l2"])
